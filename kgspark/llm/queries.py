@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import bpe
+from kgspark.llm import bpe, quality_rules
 from kgspark.llm.common import table
 
 
@@ -15,5 +15,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules.clean(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {"op6_line_rules": op6_line_rules, "op8_bpe": op8_bpe}
+ORACLE_SQL = {"op6_line_rules": quality_rules.SQL}
