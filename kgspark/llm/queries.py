@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import bpe, html_text, quality_knn, quality_rules, toxicity
+from kgspark.llm import bpe, html_text, quality_knn, quality_rules, toxicity, warc
 from kgspark.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.read(pages, warc.write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +37,5 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op8_bpe": op8_bpe}
+QUERIES = {"op3_warc_index": op3_warc_index, "op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op8_bpe": op8_bpe}
 ORACLE_SQL = {"op6_line_rules": quality_rules.SQL}
