@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import bpe, html_text, pii, quality_knn, quality_rules, toxicity, warc
+from kgspark.llm import bpe, decontaminate, html_text, pii, quality_knn, quality_rules, toxicity, warc
 from kgspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op3_warc_index": op3_warc_index, "op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op7_surrogates": op7_surrogates, "op8_bpe": op8_bpe}
+QUERIES = {"op1_string_tiling": op1_string_tiling, "op3_warc_index": op3_warc_index, "op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op7_surrogates": op7_surrogates, "op8_bpe": op8_bpe}
 ORACLE_SQL = {"op6_line_rules": quality_rules.SQL}
