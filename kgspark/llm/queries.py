@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import bpe, decontaminate, html_text, jaccard_join, pii, quality_knn, quality_rules, toxicity, warc
+from kgspark.llm import bpe, decontaminate, html_text, jaccard_join, passages, pii, quality_knn, quality_rules, toxicity, warc
 from kgspark.llm.common import table
 
 
@@ -54,5 +54,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_string_tiling": op1_string_tiling, "op3_warc_index": op3_warc_index, "op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op7_surrogates": op7_surrogates, "op8_bpe": op8_bpe, "op9_jaccard": op9_jaccard}
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_string_tiling": op1_string_tiling, "op3_warc_index": op3_warc_index, "op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op7_surrogates": op7_surrogates, "op8_bpe": op8_bpe, "op9_jaccard": op9_jaccard, "op10_compact_windows": op10_compact_windows}
 ORACLE_SQL = {"op6_line_rules": quality_rules.SQL}
