@@ -13,11 +13,12 @@ that occurs twice under two ids is reported under both, and other columns are no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,18 +154,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return out if out is not None else docs.sparkSession.createDataFrame([], PAIRS)
 
 
+def leak_test(sent: Broadcast[Benchmark], coverage: float) -> Callable:
+    """A column function: whether a text is contaminated by an item of the block."""
+
+    def leaks(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts.where(texts.notna(), None), pa.string())], ["n", "text"])
+        for some in slices(iter([part]), 1):
+            for d, *_ in sent.value.pairs(some.column(1).to_pylist(), coverage):
+                out[some.column(0)[d].as_py()] = True
+        return pd.Series(out)
+
+    return F.pandas_udf(leaks, "boolean")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones, all columns as they came."""
     for block in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def leaks(texts: pd.Series, sent=sent) -> pd.Series:
-            out = np.zeros(len(texts), bool)
-            part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts.where(texts.notna(), None), pa.string())], ["n", "text"])
-            for some in slices(iter([part]), 1):
-                for d, *_ in sent.value.pairs(some.column(1).to_pylist(), coverage):
-                    out[some.column(0)[d].as_py()] = True
-            return pd.Series(out)
-
-        docs = docs.where(~F.pandas_udf(leaks, "boolean")(F.col(text_col)))
+        docs = docs.where(~leak_test(docs.sparkSession.sparkContext.broadcast(block), coverage)(F.col(text_col)))
     return docs

@@ -66,8 +66,8 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), hashed))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_lines_kept, n_words_kept, clean_text."""
+def judgement(text_col: str) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_lines_kept, n_words_kept, clean_text as a struct."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = let(F.array_remove(F.split(text, GAP), ""), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
 
@@ -87,13 +87,28 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         )
 
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), by_line)
-    judged = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), counts.alias("w"), lines.alias("l"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"), removed(text, SYMBOLS).cast("long").alias("n_symbols"),
-    )
-    flat = judged.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "l.n_lines_kept", "l.n_words_kept", "l.clean_text")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return flat.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_words_kept") >= MIN_KEPT_PERCENT * F.col("n_words")))
+    chars = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
+    return F.struct(counts.alias("w"), lines.alias("l"), chars.alias("word_chars"), removed(text, SYMBOLS).cast("long").alias("n_symbols"))
+
+
+def verdicts(n_words: Column, n_repeat_words: Column, n_words_kept: Column) -> tuple[Column, Column]:
+    """base_failed and kept."""
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+    return failed, ~failed & (100 * n_words_kept >= MIN_KEPT_PERCENT * n_words)
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_lines_kept, n_words_kept, clean_text, base_failed, kept."""
+    flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), judgement(text_col).alias("j")).select("doc_id", "j.w.n_words", "j.word_chars", "j.n_symbols", "j.l.n_dup_lines", "j.w.n_repeat_words", "j.l.n_lines", "j.l.n_lines_kept", "j.l.n_words_kept", "j.l.clean_text")
+    failed, kept = verdicts(F.col("n_words"), F.col("n_repeat_words"), F.col("n_words_kept"))
+    return flat.withColumns({"base_failed": failed, "kept": kept})
+
+
+def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that stay, without their failing lines; all columns as they came (none may be named __judged)."""
+    judged = docs.withColumn("__judged", judgement(text_col))
+    kept = verdicts(F.col("__judged.w.n_words"), F.col("__judged.w.n_repeat_words"), F.col("__judged.l.n_words_kept"))[1]
+    return judged.where(kept).select(*[F.col("__judged.l.clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same for DuckDB.
