@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import tarfile
@@ -37,9 +36,9 @@ def lines(path: str) -> Iterator[tuple[str, int, str]]:
                 if kind == "graph_metadata":
                     yield kind, 0, stream.read().decode()
                     continue
-                for n, line in enumerate(io.TextIOWrapper(stream, "utf-8")):
+                for n, line in enumerate(stream):
                     if line.strip():
-                        yield kind, n, line.strip()
+                        yield kind, n, line.decode().strip()
 
 
 class ArchiveReader(DataSourceReader):
