@@ -4,11 +4,12 @@ Documents with equal shingle sets are one class; classes are joined.
 1. Two sets with a similarity of THRESHOLD share one of the first shingles of both, in any order of all shingles. The order
    is by hash, with shingles that many classes have in that prefix last (found by counting, all documents, repeated ROUNDS
    times); whatever that list holds, the join stays exact. Classes that share a prefix shingle meet in its group.
-2. In each group every class is compared with the group's least one, and links found there are contracted to components:
-   members of a large group of near copies need not all be compared with one another.
+2. In each group every class is compared with one of it, chosen by a hash of class and key, and links found there are
+   contracted to components: members of a large group of near copies need not all be compared with one another.
 3. Shingles are hashed into DIMENSIONS groups; a class's counts by group are a point, and the sum of the coordinate minima of
-   two points bounds their overlap. Each group's points are packed in an R-tree, whose boxes' upper corners bound whole
-   nodes; pairs of points that survive, differ in component and are new are verified on the sets themselves.
+   two points bounds their overlap, and so do their shingles from the group's on, which is tried as if it were the first they share. Each group's points are packed in an R-tree, whose boxes' upper corners bound whole
+   nodes; pairs that survive and differ in component are
+   bounded once more by points of as many dimensions as the sets are large, and the rest verified on the sets themselves.
 Groups of over GROUP_ROWS points are cut in blocks, and pairs of blocks are searched. Lists that go to all tasks are bounded
 (HOT_KEYS keys) or checked (BROADCAST_ROWS ids; beyond it the tables are joined by shuffling).
 
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import id_text, mix, ngram_hashes, slices, word_hashes, written
 from kgspark.llm.components import components
 
-SHINGLE, THRESHOLD, DIMENSIONS = 5, 80, 64
+SHINGLE, THRESHOLD, DIMENSIONS = 5, 80, 128
 #: A shingle in the prefixes of this many classes is put last; at most so many of them; so often they are counted anew.
-HOT, HOT_KEYS, ROUNDS, SALTS = 100, 1 << 18, 2, 64
+HOT, HOT_KEYS, ROUNDS, SALTS = 30, 1 << 18, 3, 64
 GROUP_ROWS, LEAF, SMALL_GROUP, BROADCAST_ROWS = 20_000, 32, 48, 1_000_000
+#: Groups of up to TOGETHER rows are dealt by their classes; pairs that a task remembers so as not to list them again.
+TOGETHER, MOST_TOLD = 4_000, 1_000_000
 #: A coordinate of this value stands for any larger count: its point is never pruned.
 FULL = 255
 
@@ -44,34 +47,43 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     grams, out = ngram_hashes(words, SHINGLE), []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+            own = np.sort(grams[a : b - SHINGLE + 1])
+            same = own[1:] == own[:-1]
+            out.append(own[np.concatenate(([True], ~same))] if same.any() else own)
         else:
             out.append(mix(ngram_hashes(words[a:b], b - a) + np.uint64(b - a)) if b > a else grams[:0])
     return out
 
 
 def class_id(shingles: np.ndarray) -> int:
-    total = mix(shingles.sum(dtype=np.uint64, keepdims=True) + mix(np.bitwise_xor.reduce(shingles, keepdims=True)) + np.uint64(len(shingles)))
-    return int(total.view(np.int64)[0])
-
-
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    """n - ceil(THRESHOLD % of n) + 1: a set with fewer shared shingles outside cannot reach the threshold."""
-    return n + (-THRESHOLD * n) // 100 + 1
+    """A 64-bit hash of the set, from its size, sum and exclusive or."""
+    total = int(shingles.sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + int(np.bitwise_xor.reduce(shingles)) * 0xC2B2AE3D27D4EB4F + len(shingles)
+    total &= (1 << 64) - 1
+    total = (total ^ total >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    total ^= total >> 32
+    return total - (1 << 64) if total >> 63 else total
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles of a set in the common order, and how many of them are hot."""
-    order, p = np.sort(mix(shingles)), int(prefix_size(np.array(len(shingles))))
+    p = len(shingles) + (-THRESHOLD * len(shingles)) // 100 + 1
     if not len(hot):
-        return order[:p], 0
-    at = np.minimum(np.searchsorted(hot, order), len(hot) - 1)
-    last = hot[at] == order
-    return np.concatenate((order[~last], order[last]))[:p], max(0, p - int((~last).sum()))
+        return shingles[:p], 0
+    last = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
+    n_hot = int(last.sum())
+    if not n_hot:
+        return shingles[:p], 0
+    return np.concatenate((shingles[~last], shingles[last]))[:p], max(0, p - len(shingles) + n_hot)
+
 
+def point(shingles: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Counts by group: the hash's lowest bits, so that half as many groups are sums of two."""
+    return np.minimum(np.bincount((shingles & np.uint64(dimensions - 1)).astype(np.int64), minlength=dimensions), FULL).astype(np.uint8)
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS), FULL).astype(np.uint8)
+
+def fine_point(shingles: np.ndarray) -> np.ndarray:
+    """A point with so many dimensions that a group holds two shingles or fewer on average."""
+    return point(shingles, max(DIMENSIONS, 1 << max(0, len(shingles) // 2 - 1).bit_length()))
 
 
 def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,19 +141,22 @@ class Tree:
                 yield np.repeat(x, len(y)), np.tile(y, len(x))
 
 
-def survivors(i: np.ndarray, j: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def survivors(i: np.ndarray, j: np.ndarray, points: np.ndarray, sizes: np.ndarray, full: np.ndarray | None = None) -> np.ndarray:
     """Which pairs of rows the bound cannot rule out."""
     fits = (100 * np.minimum(sizes[i], sizes[j]) >= THRESHOLD * np.maximum(sizes[i], sizes[j])).nonzero()[0]
     i, j = i[fits], j[fits]
     bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
-    full = (points[i].max(1, initial=0) == FULL) | (points[j].max(1, initial=0) == FULL) if len(i) else np.zeros(0, bool)
-    out = np.zeros(len(fits), bool)
-    out[:] = enough(bound, sizes[i], sizes[j]) | full
-    return fits[out]
+    full = (points == FULL).any(1) if full is None else full
+    return fits[enough(bound, sizes[i], sizes[j]) | full[i] | full[j]]
+
 
+def group_pairs(start: np.ndarray, comp: np.ndarray, points: np.ndarray, sizes: np.ndarray, rank: np.ndarray, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of rows of one group (start: where groups begin) and different components; half: only pairs of different halves.
 
-def group_pairs(start: np.ndarray, comp: np.ndarray, points: np.ndarray, sizes: np.ndarray, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of rows of one group (start: where groups begin) and different components; half: only pairs of different halves."""
+    rank: the place of the group's shingle in a row's order. Of the first shingle that two sets share, no more than what follows is shared;
+    a pair that fails this meets again at an earlier shingle if it links.
+    """
+    rest, full = sizes - rank, (points == FULL).any(1)
     length, left, right = np.diff(np.append(start, len(comp))), [], []
 
     def put(i: np.ndarray, j: np.ndarray) -> None:
@@ -149,7 +164,9 @@ def group_pairs(start: np.ndarray, comp: np.ndarray, points: np.ndarray, sizes:
         if half is not None:
             new &= (half[i] < 0) | (half[i] != half[j])
         i, j = i[new], j[new]
-        some = survivors(i, j, points, sizes)
+        first = (100 + THRESHOLD) * np.minimum(rest[i], rest[j]) >= THRESHOLD * (sizes[i] + sizes[j])
+        i, j = i[first], j[first]
+        some = survivors(i, j, points, sizes, full)
         left.append(i[some]), right.append(j[some])
 
     small = length <= SMALL_GROUP
@@ -198,7 +215,7 @@ def hot_keys(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, cls, n, point, keys (of the first row of a class in a task; else empty), n_hot (of the keys, the last)."""
+    """doc_id, cls, n; for the first row of a class in a task also point, fine, keys and n_hot (of the keys, the last)."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +224,16 @@ def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             rows = []
             for s in shingle_sets(part.column(1).to_pylist()):
                 cls = class_id(s) if len(s) else None
-                keys, n_hot = prefix(s, hot) if len(s) and cls not in seen else (s[:0], 0)
+                if cls is None or cls in seen:
+                    rows.append((cls, len(s), None, None, None, 0))
+                    continue
                 seen.add(cls)
-                rows.append((cls, len(s), point(s).tobytes(), keys.view(np.int64), n_hot))
-            cls, n, points, keys, n_hot = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n_hot, pa.int32())], ["doc_id", "cls", "n", "point", "keys", "n_hot"])
+                keys, n_hot = prefix(s, hot)
+                rows.append((cls, len(s), point(s).tobytes(), fine_point(s).tobytes(), keys.view(np.int64), n_hot))
+            cls, n, points, fine, keys, n_hot = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n_hot, pa.int32())], ["doc_id", "cls", "n", "point", "fine", "keys", "n_hot"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, point binary, keys array<long>, n_hot int")
+    return docs.mapInArrow(run, "doc_id long, cls long, n long, point binary, fine binary, keys array<long>, n_hot int")
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -235,9 +255,27 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def finely_bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the points of many dimensions cannot rule out; of two lengths, the longer is folded."""
+    both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("fine").alias("pa")), "a").join(classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for k, (na, nb, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                full = x.max() == FULL or y.max() == FULL
+                x, y = (v.reshape(-1, min(len(x), len(y))).sum(0, dtype=np.int64) for v in (x, y))
+                keep += [k] if full or enough(np.minimum(x, y).sum(), na, nb) else []
+            if keep:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], ["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of classes (a, b) whose shingle sets reach the threshold."""
-    pairs = written(pairs, "candidates")
+    pairs = written(finely_bounded(pairs, classes), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     rows = written(classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep").alias("doc_id")), "wanted")
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -265,19 +303,21 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def tree_candidates(groups: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that R-trees over the groups' points cannot rule out; groups: key, cls."""
+    """Pairs (a, b) of different components that R-trees over the groups' points cannot rule out; groups: key, cls, at (the key's rank)."""
     full = groups.join(component.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = full.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", "rows")
+    mixed = full.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"), F.min(F.xxhash64("cls")).alias("sign")).where("low < high").select("key", "rows", "sign")
     rows = full.join(mixed, "key").join(classes.select("cls", "n", "point"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("rows") / GROUP_ROWS)).cast("int")
     parts = F.when(F.col("rows") <= GROUP_ROWS, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("half")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.ceil(F.col("rows") / GROUP_ROWS).cast("int") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), F.when(k == block, -1).when(block < k, 0).otherwise(1).alias("half")))
     )  # a block meets itself (half -1: all pairs) and each other block (pairs of different halves)
-    dealt = rows.select("key", "cls", "component", "n", "point", F.explode(parts).alias("p")).select("key", "p.i", "p.j", "p.half", "cls", "component", "n", "point")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
+    deal = F.when(F.col("rows") <= TOGETHER, F.col("sign")).otherwise(F.col("key"))  # groups of much the same classes meet in a task, which lists their pairs once
+    dealt = rows.select("key", "cls", "component", "n", "at", "point", deal.alias("deal"), F.explode(parts).alias("p")).select("key", "p.i", "p.j", "p.half", "cls", "component", "n", "at", "point", "deal")
+    dealt = dealt.repartition("deal", "i", "j").sortWithinPartitions("deal", "key", "i", "j", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        told = np.zeros((0, 3), np.int64)  # pairs of the last deal
 
         def searched(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
@@ -286,9 +326,16 @@ def tree_candidates(groups: DataFrame, classes: DataFrame, component: DataFrame)
             ids, t = ids[fresh], t.filter(pa.array(fresh)).combine_chunks()
             start = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(1))))
             cls = t.column(4).to_numpy()
-            i, j = group_pairs(start, t.column(5).to_numpy(), _points(t.column(7)), t.column(6).to_numpy(), t.column(3).to_numpy())
-            pairs = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            i, j = group_pairs(start, t.column(5).to_numpy(), _points(t.column(8)), t.column(6).to_numpy(), t.column(7).to_numpy(), t.column(3).to_numpy())
+            nonlocal told
+            deal = t.column(9).to_numpy()
+            pairs = np.unique(np.stack([deal[i], np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0)
+            known = told[told[:, 0] == deal[0]]
+            both, count = np.unique(np.concatenate((known, known, pairs)), axis=0, return_counts=True)
+            new = both[count == 1]
+            told = np.concatenate((known, new))
+            told = told[told[:, 0] == deal[-1]][-MOST_TOLD:]
+            return pa.RecordBatch.from_arrays([pa.array(new[:, 1]), pa.array(new[:, 2])], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -309,20 +356,39 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_shingles, class_id (equal sets) and component_id (least id reachable by links) of every document."""
     docs = id_text(docs, id_col, text_col)
     rows = written(described(docs, hot_keys(docs)), "described")
-    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("point").alias("point")), "classes")
+    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "classes")
     place = F.posexplode("keys").alias("at", "key")
-    postings = rows.select("cls", "n_hot", F.size("keys").alias("size"), place).select("key", "cls", F.when(F.col("at") >= F.col("size") - F.col("n_hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(-1).alias("salt"))
+    salt = F.when(F.col("at") >= F.col("size") - F.col("n_hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(-1)
+    postings = rows.select("cls", "n_hot", F.size("keys").alias("size"), place).select("key", "cls", "at", salt.alias("salt"))
     own = W.partitionBy("key", "salt")
-    met = postings.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own)}).where("least < most OR salt >= 0").select("key", "cls", "salt", "least")
+    head = F.min_by("cls", F.xxhash64("key", "cls"))
+    met = postings.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own), "head": head.over(own)}).where("least < most OR salt >= 0").select("key", "cls", "at", "salt", "head")
     met = written(met, "groups")
-    heads = met.where("salt >= 0").groupBy("key").agg(F.min("least").alias("head"))  # links the salts of a hot key
-    across = met.where("salt >= 0").select("key", "least").distinct().join(heads, "key").select(F.col("least").alias("a"), F.col("head").alias("b"))
-    stars = met.select(F.col("cls").alias("a"), F.col("least").alias("b")).unionByName(across).where("a <> b").distinct()
+    heads = met.where("salt >= 0").select("key", "head").distinct()  # links the salts of a hot key
+    across = heads.join(heads.groupBy("key").agg(F.min_by("head", F.xxhash64("key", "head")).alias("least")), "key").select(F.col("head").alias("a"), F.col("least").alias("b"))
+    stars = met.select(F.col("cls").alias("a"), F.col("head").alias("b")).unionByName(across).where("a <> b").distinct()
     first = verified(bounded(stars, classes), docs, classes)
     component = components(first.toDF("u", "v"))
-    second = verified(tree_candidates(met.select("key", "cls"), classes, component), docs, classes)
+    second = verified(tree_candidates(met.select("key", "cls", "at"), classes, component), docs, classes)
     component = components(first.unionByName(second).toDF("u", "v"))
     least = classes.join(component.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = least.select("component", "rep").groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = written(least.select("cls", "component").join(ids, "component").select("cls", "component_id"), "by-class")
     return rows.select("doc_id", "n", "cls").join(by_class.hint("merge"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the least id of each component only, all columns as they came.
+
+    Documents without shingles stay, and so do those without id (nothing tells them apart). An id that several rows have
+    stays or goes as a whole; of its rows with equal texts one stays.
+    """
+    linked = written(link(docs, id_col, text_col), "linked")
+    gone = written(linked.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    repeated = written(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    same = F.col(id_col).cast("long") == F.col("__twice")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
