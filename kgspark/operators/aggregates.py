@@ -26,12 +26,21 @@ def category_counts(store: GraphStore, top: int | None = None) -> DataFrame:
 
 
 def sizes(store: GraphStore) -> DataFrame:
-    """One row: node records, graph nodes, edge records, distinct triples, pairs and variants, and predicates."""
-    edges = store.edges.agg(
-        F.count("*").alias("records"), F.count_distinct("subject", "predicate", "object").alias("triples"), F.count_distinct("subject", "object").alias("pairs"),
-        F.count_distinct("subject", "predicate", "object", "qual_fp").alias("variants"), F.count_distinct("predicate").alias("predicates"),
-    )
-    return edges.crossJoin(store.nodes.agg(F.count("*").alias("node_records"))).crossJoin(store.graph_nodes.agg(F.count("*").alias("graph_nodes")))  # one row each
+    """One row: node records, graph nodes, edge records, distinct triples, pairs and variants, and predicates.
+
+    Distinct counts are nested group-bys, each on the rows that the one below has left.
+    """
+    variant = store.edges.groupBy("subject", "predicate", "object", "qual_fp").agg(F.count("*").alias("records"))
+    triple = variant.groupBy("subject", "predicate", "object").agg(F.sum("records").alias("records"), F.count("*").alias("variants"))
+    pair = triple.groupBy("subject", "object").agg(F.sum("records").alias("records"), F.sum("variants").alias("variants"), F.count("*").alias("triples"))
+    parts = [
+        pair.agg(F.sum("records").alias("records"), F.sum("triples").alias("triples"), F.count("*").alias("pairs"), F.sum("variants").alias("variants")),
+        predicate_counts(store).agg(F.count("*").alias("predicates")), store.nodes.agg(F.count("*").alias("node_records")), store.graph_nodes.agg(F.count("*").alias("graph_nodes")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in out.columns])
 
 
 def out_degree(store: GraphStore) -> DataFrame:
