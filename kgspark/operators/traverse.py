@@ -76,9 +76,10 @@ def term_ids(store: GraphStore, term: NodeTerm, subclassing: bool = False, depth
     return out
 
 
-def small(ids: DataFrame, term: NodeTerm) -> DataFrame:
+def small(ids: DataFrame, term: NodeTerm, subclassing: bool = False) -> DataFrame:
     """A list that the caller spelled out is sent to all tasks; anything that grows with the graph is left to the planner."""
-    return F.broadcast(ids) if not isinstance(term, dict) or not as_list(term.get("categories", term.get("category"))) else ids
+    grows = subclassing or isinstance(term, dict) and bool(as_list(term.get("categories", term.get("category"))))
+    return ids if grows else F.broadcast(ids)
 
 
 def term_edges(store: GraphStore, term: EdgeTerm) -> DataFrame:
@@ -149,10 +150,10 @@ def match_path(
     for k, step in enumerate(steps):
         for ids, term in ((allowed[k + 1], nodes[k + 1]), (reach[k + 1] if k + 1 < len(steps) else None, {"category": "reach"})):
             if ids is not None:
-                step = step.join(small(ids, term).withColumnRenamed("id", "there"), "there", "left_semi")
+                step = step.join(small(ids, term, node_subclassing).withColumnRenamed("id", "there"), "there", "left_semi")
         named = step.select(F.col("here").alias(f"n{k}"), F.col("predicate").alias(f"p{k}"), F.col("subject").alias(f"s{k}"), F.col("object").alias(f"o{k}"), F.col("there").alias(f"n{k + 1}"))
         if k == 0:
-            rows = named if allowed[0] is None else named.join(small(allowed[0], nodes[0]).withColumnRenamed("id", "n0"), "n0", "left_semi")
+            rows = named if allowed[0] is None else named.join(small(allowed[0], nodes[0], node_subclassing).withColumnRenamed("id", "n0"), "n0", "left_semi")
         else:
             rows = rows.join(named, f"n{k}")
     rows = rows.select(*[c for k in range(len(edges)) for c in (f"n{k}", f"p{k}", f"s{k}", f"o{k}")], f"n{len(edges)}")
