@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.functions.terms import HIERARCHY, SYMMETRIC
+from kgspark.functions.terms import SYMMETRIC
 from kgspark.sources.store import GraphStore
 
-#: Predicates that must not hold both ways round, and those that may.
-ANTISYMMETRIC = ("part_of", "has_part", "located_in", "location_of", "precedes", "preceded_by", "derives_from", "develops_from", "subclass_of", "superclass_of")
-PLAUSIBLE_BOTH_WAYS = ("affects", "regulates", "causes", "contributes_to", "produces", "affected_by", "caused_by", "regulated_by")
+#: Predicates that order a hierarchy, those that must not hold both ways round, and those that may.
+ORDERING = ("subclass_of", "rdfs:subClassOf", "superclass_of")
+ANTISYMMETRIC = (
+    "part_of", "has_part", "located_in", "has_input", "has_output", "has_metabolite", "has_substrate", "causes", "caused_by", "predisposes_to_condition",
+    "acts_upstream_of", "acts_upstream_of_or_within", "has_phenotype", "capable_of", "enables", "contributes_to",
+)
+PLAUSIBLE_BOTH_WAYS = ("affects", "regulates", "interacts_with")
 SEVERITIES = ("high", "medium", "low", "info")
 
 
@@ -69,7 +73,7 @@ def findings(store: GraphStore) -> DataFrame:
     """The audit's predicates that need a look, with severity and category, the most severe first."""
     loops, mutual = F.col("self_loops") > 0, F.col("mutual_pairs") > 0
     stored_both_ways = F.col("recip_directed") >= 0.999 * F.col("directed")
-    wrong = F.col("predicate").isin(*HIERARCHY, *ANTISYMMETRIC)
+    wrong = F.col("predicate").isin(*ORDERING, *ANTISYMMETRIC)
     severity = (
         F.when(F.col("symmetric"), F.when(~stored_both_ways, "info"))
         .when(~loops & ~mutual, None).when(wrong, "high")
@@ -77,7 +81,7 @@ def findings(store: GraphStore) -> DataFrame:
         .otherwise(F.when(mutual, "medium").otherwise("low"))
     )
     category = (
-        F.when(F.col("symmetric"), "symmetric but stored one way").when(F.col("predicate").isin(*HIERARCHY), "cycle or loop in a hierarchy")
+        F.when(F.col("symmetric"), "symmetric but stored one way").when(F.col("predicate").isin(*ORDERING), "cycle or loop in a hierarchy")
         .when(wrong, "antisymmetric but both ways").when(F.col("predicate").isin(*PLAUSIBLE_BOTH_WAYS), "plausible both ways").otherwise("unexpectedly both ways")
     )
     rows = audit(store).withColumn("severity", severity).where("severity IS NOT NULL").withColumn("category", category)
