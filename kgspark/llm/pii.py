@@ -84,28 +84,29 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "ip", value).otherwise(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]", ""))
 
 
-def drawn(seed: Column, at: Column, n: Column | int) -> Column:
-    """A number below n for place `at`, from the seed's digest (a new digest every 30 places)."""
-    chunk = F.sha2(F.concat(seed, F.lit("|"), F.floor(at / 30).cast("string")), 256)
-    return F.pmod(F.conv(F.substring(chunk, (F.pmod(at, F.lit(30)) * 2 + 1).cast("int"), F.lit(4)), 16, 10).cast("int"), n if isinstance(n, Column) else F.lit(n)).cast("int")
+def drawn(seed: Column, at: Column) -> Column:
+    """A number below 65,536 for place `at`, from the seed's digest (a new digest every 15 places)."""
+    chunk = F.sha2(F.concat(seed, F.lit("|"), F.floor(at / 15).cast("string")), 256)
+    return F.conv(F.substring(chunk, (F.pmod(at, F.lit(15)) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
 
 
-def pick(letters: str, seed: Column, at: Column) -> Column:
-    return F.substring(F.lit(letters), drawn(seed, at, len(letters)) + 1, F.lit(1))
+def pick(letters: str, number: Column) -> Column:
+    return F.substring(F.lit(letters), F.pmod(number, F.lit(len(letters))) + 1, F.lit(1))
 
 
-def replaced_letter(c: Column, hexadecimal: Column, spoken: Column, seed: Column, at: Column) -> Column:
+def replaced_letter(c: Column, hexadecimal: Column, spoken: Column, number: Column) -> Column:
     """A small letter or digit of c's kind; names and mail addresses keep vowels vowels."""
+    block = (F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") / 32).cast("int") * 32  # 32 signs of a script that has no alphabet here
     return (
-        F.when(c.rlike("[0-9]"), pick(DIGITS, seed, at))
-        .when(c.rlike("[a-f]") & hexadecimal, pick(HEX, seed, at))
-        .when(c.rlike("[aeiouà-æè-ïò-öù-ü]") & spoken, pick(VOWELS, seed, at))
-        .when(c.rlike("[a-zß-ÿ]") & spoken, pick(CONSONANTS, seed, at))
-        .when(c.rlike("[a-zß-ÿ]"), pick(LETTERS, seed, at))
-        .when(c.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC, seed, at))
-        .when(c.rlike(r"\p{IsGreek}"), pick(GREEK, seed, at))
-        .when(F.octet_length(c) == 3, F.decode(F.unhex(F.lpad(F.hex((F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") / 32).cast("int") * 32 + drawn(seed, at, 32)), 4, "0")), "UTF-16BE"))
-        .otherwise(pick(LETTERS, seed, at))
+        F.when(c.rlike("[0-9]"), pick(DIGITS, number))
+        .when(c.rlike("[a-f]") & hexadecimal, pick(HEX, number))
+        .when(c.rlike("[aeiouà-æè-ïò-öù-ü]") & spoken, pick(VOWELS, number))
+        .when(c.rlike("[a-zß-ÿ]") & spoken, pick(CONSONANTS, number))
+        .when(c.rlike("[a-zß-ÿ]"), pick(LETTERS, number))
+        .when(c.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC, number))
+        .when(c.rlike(r"\p{IsGreek}"), pick(GREEK, number))
+        .when(F.octet_length(c) == 3, F.decode(F.unhex(F.lpad(F.hex(block + F.pmod(number, F.lit(32))), 4, "0")), "UTF-16BE"))
+        .otherwise(pick(LETTERS, number))
     )
 
 
@@ -123,8 +124,8 @@ def surrogate(key: str, p: Column, attempt: Column) -> Column:
 
     def made(s: Column) -> Column:
         chars = F.filter(F.split(p["own"], ""), lambda c: c != "")
-        letters = F.array_join(F.transform(chars, lambda c, i: replaced_letter(c, hexadecimal, spoken, s, i)), "")
-        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (drawn(s, i * 2, 254) + 1).cast("string")), ".")
+        letters = F.array_join(F.transform(chars, lambda c, i: let(drawn(s, i), lambda number: replaced_letter(c, hexadecimal, spoken, number))), "")
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(drawn(s, i), F.lit(254)) + 1).cast("string")), ".")
         return F.when(p["kind"] == "ip", octets).otherwise(letters)
 
     return let(seed, made)
@@ -156,7 +157,7 @@ def given_name(lead: Column, name: Column, seed: Column) -> Column:
 
 
 def pick_of(names: list[str], seed: Column) -> Column:
-    return F.get(F.array(*map(F.lit, names)), drawn(seed, F.lit(0), len(names)))
+    return F.get(F.array(*map(F.lit, names)), F.pmod(drawn(seed, F.lit(0)), F.lit(len(names))))
 
 
 def parts(value: Column) -> Column:
@@ -200,9 +201,14 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def canonical_draw(key: str, value: Column, attempt: int) -> Column:
+    """The surrogate of an entity as collisions are judged: small letters, digits and dots."""
+    return F.lower(F.regexp_replace(let(parts(value), lambda p: spelled(key, p, F.lit(attempt))), r"[^\p{L}\p{N}.]", ""))
+
+
 def drawn_again(found: DataFrame, key: str) -> DataFrame:
     """canon, kind and attempt of the entities whose first surrogates collide; found: distinct kind, canon, sample (an entity)."""
-    everyone = written(found.withColumn("s", F.expr("lower(regexp_replace(sample, '[^\\\\p{L}\\\\p{N}.]', ''))")).withColumn("s0", F.lower(F.regexp_replace(spelled(key, parts(F.col("sample")), F.lit(0)), r"[^\p{L}\p{N}.]", ""))), "pii-entities")
+    everyone = written(found.withColumn("s", F.lower(F.regexp_replace("sample", r"[^\p{L}\p{N}.]", ""))).withColumn("s0", canonical_draw(key, F.col("sample"), 0)), "pii-entities")
     taken = everyone.select("kind", F.col("s").alias("s0"), F.lit(None).cast("string").alias("canon"), F.lit(1).alias("real"))
     rows, again, attempt = everyone.select("kind", "canon", "sample", "s0"), None, 0
     while True:
@@ -217,7 +223,7 @@ def drawn_again(found: DataFrame, key: str) -> DataFrame:
         mine = losers.select("kind", "canon", F.lit(attempt).alias("attempt"))
         again = mine if again is None else again.join(losers, ["kind", "canon"], "left_anti").unionByName(mine)
         taken = taken.unionByName(drawn_rows.withColumn("real", F.lit(1)).withColumn("canon", F.lit(None).cast("string")))
-        rows = losers.withColumn("s0", F.lower(F.regexp_replace(spelled(key, parts(F.col("sample")), F.lit(attempt)), r"[^\p{L}\p{N}.]", "")))
+        rows = losers.withColumn("s0", canonical_draw(key, F.col("sample"), attempt))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
