@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
-from kgspark.llm.common import table, written
+from kgspark.llm.common import scratch, table, written
 
 #: The key of the surrogates; a deployment passes a secret of its own.
 PII_KEY = "registered pipeline"
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go when its result is written
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
     return docs
