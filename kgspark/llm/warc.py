@@ -260,4 +260,5 @@ def read(wanted: DataFrame, index: Index, payload: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(keys, "key string").distinct()
-    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, RECORD)
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # keys are short, what they lead to is not: left to itself, AQE would put them in one task
+    return asked.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, RECORD)
