@@ -429,6 +429,11 @@ def _(g):
     return g.representative.where(F.col("subject").startswith("NATION:"))
 
 
+@on_graph("D7_representative_whole", "SELECT subject, object, min(predicate) AS predicate FROM t GROUP BY subject, object")
+def _(g):
+    return g.representative
+
+
 @on_graph("U4_difference", "SELECT subject AS id FROM t WHERE predicate = 'located_in' AND object = 'NATION:1' EXCEPT SELECT subject FROM t WHERE predicate = 'places'")
 def _(g):
     return g.triples.where("predicate = 'located_in' AND object = 'NATION:1'").select(F.col("subject").alias("id")).subtract(g.triples.where("predicate = 'places'").select(F.col("subject").alias("id")))

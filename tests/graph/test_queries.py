@@ -32,3 +32,8 @@ def test_same_rows_as_sql(spark, con, name):
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
     assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
+
+
+def test_representative_is_registered_whole(spark):
+    rows = queries.QUERIES["D7_representative_whole"](spark, SF)
+    assert {r.prefix for r in rows.selectExpr("split_part(subject, ':', 1) AS prefix").distinct().collect()} > {"NATION", "ORDER", "PART", "SUPP"}
