@@ -7,8 +7,10 @@ punctuated (coreference), and the surrogate has its type, length, punctuation, c
 digit and stay valid under the check digit rule where they were; IP octets stay octets; phones keep the country code, mail addresses the top domain;
 hexadecimal secrets stay hexadecimal; given names are drawn for the title's gender.
 
-Collision check: over all distinct entities, a surrogate that two share or that is itself an entity of the corpus goes to
-the smallest (unless it is an entity) and the others draw again, until all differ. Only the entities that drew again are
+Collision check: over all distinct entities, by their part that is replaced (without title, given name, prefix and punctuation, so
+one check covers every spelling), a surrogate that two share or that is itself an entity of the corpus goes to
+the smallest (unless it is an entity) and the others draw again, until all differ; a name that
+finds none of its length gets one more letter. Only the entities that drew again are
 kept as a table; documents with one of them are joined with it by entity, so nothing grows with the corpus but that table.
 
 Null or empty text stays as it is, with 0 entities. Null ids stay, repeated rows each give a row. All columns are
@@ -48,7 +50,7 @@ HINT = rf"[@\d]|-----BEGIN|[:=]|\b(?:{_TITLE})\b"
 LEAD = r"""^(?i:(?:password|passwd|pwd|passphrase|token|api[_-]?key|access[_-]?key|client[_-]?secret|secret|auth)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)"""
 TITLE_LEAD = rf"^(?:{_TITLE})\.?[ \t]+"
 KEEPS = {"key": r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)"}
-MAX_ROUNDS = 64
+MAX_ROUNDS, LONGER_AFTER = 64, 8
 #: Letters and what may stand for them.
 VOWELS, CONSONANTS, HEX, LETTERS, DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -131,6 +133,20 @@ def surrogate(key: str, p: Column, attempt: Column) -> Column:
     return let(seed, made)
 
 
+def more_letters(key: str, p: Column, attempt: Column) -> Column:
+    """Letters put after a name that found no free surrogate of its length: one for every LONGER_AFTER draws."""
+    seed = F.concat(F.lit(f"{key}|more|"), p["canon"], F.lit("|"), attempt.cast("string"))
+    last = F.substring(p["own"], F.greatest(F.length(p["own"]), F.lit(1)), F.lit(1))
+    n = F.floor(attempt / LONGER_AFTER).cast("int")
+    letters = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: replaced_letter(last, F.lit(False), F.lit(True), drawn(seed, i))), "")
+    return F.when((p["kind"] == "name") & (n > 0), letters).otherwise("")
+
+
+def told_apart(kind: Column, own: Column) -> Column:
+    """What no two surrogates share, whatever the title, prefix, given name and punctuation: the body; of a card, without the check digit."""
+    return F.when(kind == "card", F.substring(own, F.lit(1), F.length(own) - 1)).otherwise(own)
+
+
 def reformatted(value: Column, letters: Column) -> Column:
     """The canonical surrogate with the value's punctuation and capitals."""
 
@@ -172,7 +188,7 @@ def parts(value: Column) -> Column:
                     F.when(p["kind"] == "name", F.regexp_extract(rest, r"^([\p{L}'’-]+[ \t]+)\p{Lu}", 1)).otherwise(""),
                     lambda given: let(
                         F.substring(rest, F.length(given) + 1, F.length(rest)),
-                        lambda body: F.struct(p["kind"].alias("kind"), p["lead"].alias("lead"), given.alias("given"), body.alias("body"), p["tail"].alias("tail"), F.concat(canonical(p["kind"], body), F.when(p["kind"] == "name", F.lower(F.trim(given))).otherwise("")).alias("canon"), canonical(p["kind"], body).alias("own")),
+                        lambda body: F.struct(p["kind"].alias("kind"), p["lead"].alias("lead"), given.alias("given"), body.alias("body"), p["tail"].alias("tail"), F.concat(canonical(p["kind"], body), F.when((p["kind"] == "name") & (given != ""), F.concat(F.lit(" "), F.lower(F.trim(given)))).otherwise("")).alias("canon"), canonical(p["kind"], body).alias("own")),
                     ),
                 ),
             ),
@@ -184,7 +200,8 @@ def spelled(key: str, p: Column, attempt: Column) -> Column:
     """The whole surrogate of an entity's parts, in the entity's format."""
     own = surrogate(key, p, attempt)
     given = F.when(p["given"] == "", F.lit("")).otherwise(F.concat(given_name(p["lead"], p["given"], F.concat(F.lit(f"{key}|given|"), p["canon"], F.lit("|"), attempt.cast("string"))), F.regexp_extract(p["given"], r"[ \t]+$", 0)))
-    body = F.when(p["kind"] == "ip", own).otherwise(reformatted(p["body"], own))
+    more = let(more_letters(key, p, attempt), lambda m: F.when(F.upper(p["body"]) == p["body"], F.upper(m)).otherwise(m))
+    body = F.when(p["kind"] == "ip", own).otherwise(F.concat(reformatted(p["body"], own), more))
     whole = F.concat(p["lead"], given, body, p["tail"])
     # the check digit runs over the whole number, first digit included
     return F.when(p["kind"] == "card", let(whole, lambda w: with_check_digit(F.concat(p["lead"], p["body"]), w))).otherwise(whole)
@@ -202,13 +219,13 @@ def entities(text: Column) -> Column:
 
 
 def canonical_draw(key: str, value: Column, attempt: int) -> Column:
-    """The surrogate of an entity as collisions are judged: small letters, digits and dots."""
-    return F.lower(F.regexp_replace(let(parts(value), lambda p: spelled(key, p, F.lit(attempt))), r"[^\p{L}\p{N}.]", ""))
+    """The surrogate of an entity as collisions are judged: the same for all its spellings."""
+    return let(parts(value), lambda p: told_apart(p["kind"], F.concat(surrogate(key, p, F.lit(attempt)), more_letters(key, p, F.lit(attempt)))))
 
 
 def drawn_again(found: DataFrame, key: str) -> DataFrame:
     """canon, kind and attempt of the entities whose first surrogates collide; found: distinct kind, canon, sample (an entity)."""
-    everyone = written(found.withColumn("s", F.lower(F.regexp_replace("sample", r"[^\p{L}\p{N}.]", ""))).withColumn("s0", canonical_draw(key, F.col("sample"), 0)), "pii-entities")
+    everyone = written(found.withColumn("s", let(parts(F.col("sample")), lambda p: told_apart(p["kind"], p["own"]))).withColumn("s0", canonical_draw(key, F.col("sample"), 0)), "pii-entities")
     taken = everyone.select("kind", F.col("s").alias("s0"), F.lit(None).cast("string").alias("canon"), F.lit(1).alias("real"))
     rows, again, attempt = everyone.select("kind", "canon", "sample", "s0"), None, 0
     while True:

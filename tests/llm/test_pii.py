@@ -59,3 +59,20 @@ def test_collisions_are_drawn_again(docs, monkeypatch):
 
 def test_empty_table(docs):
     assert pii.replace(docs([]), "k").count() == 0
+
+
+def test_collisions_are_judged_over_all_spellings(docs, monkeypatch):
+    """Few letters and digits to draw: surnames stay apart under any title, numbers under any punctuation; short names run out and get longer."""
+    monkeypatch.setattr(pii, "CONSONANTS", "bcd")
+    monkeypatch.setattr(pii, "VOWELS", "ae")
+    monkeypatch.setattr(pii, "DIGITS", "01")
+    titles = ["Mr", "Mr.", "Dr", "Prof", "Mrs", "Ms.", "Frau"]
+    names = [a + b + c + d for a in "BC" for b in "ae" for c in "bcd" for d in "ae"] + ["Ba", "Be", "Ca", "Ce"]
+    texts = [f"{titles[i % 7]} {n} came" for i, n in enumerate(names)]
+    phones = [f"{200 + i}{'.-'[i % 2]}555{'.-'[i % 2]}{1000 + i}" for i in range(60)]
+    rows = {r.doc_id: r.text for r in pii.replace(docs(texts + [f"call {p} now" for p in phones]), "k").collect()}
+    drawn = [rows[i].split()[1] for i in range(len(names))]
+    assert len(set(drawn)) == len(names) and not set(drawn) & set(names)
+    assert all(rows[i].split()[0] == titles[i % 7] for i in range(len(names)))
+    numbers = [re.sub(r"\D", "", rows[len(names) + i]) for i in range(60)]
+    assert len(set(numbers)) == 60 and not set(numbers) & {re.sub(r"\D", "", p) for p in phones}
