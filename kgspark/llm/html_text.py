@@ -1,20 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes lines: markup is stripped and every block-level tag ends a line. Lines of menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments (by element, class, id or role) weigh nothing, the others as
-many characters as they have outside links. The weights are summed over sliding windows of lines; a text begins
-where the sum surges over a threshold and ends where it dives to nothing, and the lines between the two points are
-kept. On pages with an article or main element, only lines in it weigh, and any text is a surge.
+A page becomes lines: markup is stripped and every block-level tag ends a line. A line weighs as many characters as it
+has outside links; where a page has an article or main element, lines in it weigh FACTOR times as much and their links
+count once, and lines outside weigh nothing, as the head's lines do. Lines of menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments (by element, class, id or role) weigh nothing and are never text.
+The weights are summed over sliding windows of WINDOW lines. A text begins at a surge point, the first line that weighs
+something where the sums rise from nothing, and ends at a dive point, the last such line before WINDOW lines together
+weigh nothing. It is kept, with the weightless lines within it, if a window of it reaches the surge: SURGE, or half of
+the page's largest window where that is less.
 
 Null or empty html: empty text. Null ids and urls stay, repeated rows each give a row, other columns are not read.
-Pages cut off within a tag lose that tag only. Very long pages are read whole, a slice of pages at a time.
+Pages cut off within a tag lose that tag only. Very long pages are read whole, a slice of pages at a time, in time linear
+in their length however deep elements are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +29,9 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import slices
 
-WINDOW = 3
-#: Characters in a window from which a page without article or main element surges, and that a text must have.
+WINDOW, FACTOR = 3, 8
+#: What a window must weigh, at most, to be a surge.
 SURGE = 86
-
 _ATTRIBUTES = r"""(?:[^"'<>]|"[^"<]*+"|'[^'<]*+')*+>"""
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea|iframe|xmp)\b[^>]*+(?:>.*?(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)|\Z)"
@@ -36,9 +41,13 @@ TOKEN = re.compile(
 #: Elements that end a line, hold others, and hold no main text.
 BLOCKS = set("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav noscript ol option p pre section select summary svg table tbody td template tfoot th thead title tr ul video".split())
 HOLDERS = set("a address article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header hgroup li main menu nav noscript ol p section select span svg table tbody td template tfoot th thead title tr ul".split())
-CLUTTER = set("aside button dialog fieldset footer form head menu nav noscript select svg template title".split())
+CLUTTER = set("aside button dialog fieldset footer form menu nav noscript select svg template".split())
 CLUTTER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notice|popup|modal|overlay|comments?|disqus|respond|reply|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Elements that are text themselves are clutter by these names only.
+TEXT_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|cookies?|comments?|newsletter|breadcrumbs?)(?:$|[\s_-])", re.I)
+TEXTS = set("a dd dt li p span td th".split())
+NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+LINKED = re.compile(r"(?:^|\s)href\s*=", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "p": set(), "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "dd": {"dl"}, "dt": {"dl"}}
 
@@ -48,29 +57,71 @@ def is_clutter(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body", "article", "main") or not attrs:
         return False
-    return any(CLUTTER_NAME.search(m.strip("\"'")) for m in NAMED.findall(attrs)) or HIDDEN.search(attrs) is not None
+    names = TEXT_NAME if name in TEXTS else CLUTTER_NAME
+    return any(names.search(m.strip("\"'")) for m in NAMED.findall(attrs)) or HIDDEN.search(attrs) is not None
+
+
+@dataclass(frozen=True, slots=True)
+class Line:
+    """text; plain: characters outside links; clutter: of a menu or the like; article: in an article or main element; head: of the page's head."""
+
+    text: str
+    plain: int
+    clutter: bool
+    article: bool
+    head: bool
+
+
+@dataclass(frozen=True, slots=True)
+class Holder:
+    """An open element, with what holds for the text in it."""
+
+    name: str
+    clutter: bool = False
+    article: bool = False
+    head: bool = False
+    link: bool = False
+
+    def same(self, other: Holder) -> bool:
+        return (self.clutter, self.article, self.head) == (other.clutter, other.article, other.head)
+
+
+def closed_links(tokens: list[re.Match]) -> set[int]:
+    """Places in tokens of the links that end before the next one begins."""
+    out, ends = set(), False
+    for k in range(len(tokens) - 1, -1, -1):
+        if (tokens[k]["name"] or "").lower() == "a":
+            if tokens[k]["end"]:
+                ends = True
+            else:
+                if ends and LINKED.search(tokens[k]["attrs"]):
+                    out.add(k)
+                ends = False
+    return out
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines: text, characters outside links, clutter or not, in an article or main element or not."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, clutter, article
+def lines(page: str) -> list[Line]:
+    out: list[Line] = []
+    outside = Holder("")
+    stack, depth = [outside], Counter()
     text: list[str] = []
-    plain = links = at = 0
-    clutter = article = False
+    plain = at = 0
+    tokens = list(TOKEN.finditer(page))
+    linked = closed_links(tokens)
 
     def flush() -> None:
         nonlocal plain
         if text:
             if joined := " ".join(html.unescape("".join(text)).split()):
-                out.append((joined, min(plain, len(joined)), clutter, article))
+                top = stack[-1]
+                out.append(Line(joined, min(plain, len(joined)), top.clutter, top.article, top.head))
             text.clear()
         plain = 0
 
-    for m in TOKEN.finditer(page):
+    for k, m in enumerate(tokens):
         if m.start() > at:
             text.append(piece := page[at : m.start()])
-            plain += 0 if links else len(piece.strip())
+            plain += 0 if stack[-1].link else len(piece.strip())
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -80,56 +131,64 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if name not in HOLDERS:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(x[1] != clutter or x[2] != article for x in stack[:k][-1:] or [("", False, False)]):
-                        flush()
-                    del stack[k:]
-                    break
-        elif m["attrs"].endswith("/>"):
-            continue
-        else:
-            if name == "body":
-                stack.clear()
-            elif name in SIBLINGS and stack and stack[-1][0] == name:
+            if not depth[name]:  # nothing to end
+                continue
+            place = len(stack) - 1
+            while stack[place].name != name:
+                place -= 1
+            if not stack[-1].same(stack[place - 1]):
+                flush()
+            for gone in stack[place:]:
+                depth[gone.name] -= 1
+            del stack[place:]
+        elif not m["attrs"].endswith("/>"):
+            if name == "body" or stack[-1].head and name not in ("title", "noscript", "template"):
+                del stack[1:]
+                depth.clear()
+            elif name in SIBLINGS and stack[-1].name == name:
+                depth[name] -= 1
                 stack.pop()
-            above = stack[-1] if stack else ("", False, False)
-            inside = above[2] or name in ("article", "main")
-            own = above[1] or is_clutter(name, m["attrs"][:-1], above[2])
-            if (own, inside) != (clutter, article):
+            above = stack[-1]
+            inside = above.article or name in ("article", "main")
+            own = Holder(name, above.clutter or is_clutter(name, m["attrs"][:-1], above.article), inside, above.head or name in ("head", "title"), above.link or k in linked)
+            if not own.same(above):
                 flush()
-            stack.append((name, own, inside))
-        _, clutter, article = stack[-1] if stack else ("", False, False)
-        links = sum(x[0] == "a" for x in stack)
+            stack.append(own)
+            depth[name] += 1
     if at < len(page):
         text.append(page[at:])
-        plain += 0 if links else len(page[at:].strip())
+        plain += 0 if stack[-1].link else len(page[at:].strip())
     flush()
     return out
 
 
+def weights(found: list[Line]) -> np.ndarray:
+    marked = any(x.article and not x.clutter for x in found)
+
+    def weight(x: Line) -> int:
+        if x.clutter or x.head or marked and not x.article:
+            return 0
+        return FACTOR * x.plain + len(x.text) - x.plain if marked else x.plain
+
+    return np.array([weight(x) for x in found], np.int64)
+
+
+def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
+    """First and last line of each text: from surge point to dive point."""
+    if not weight.any():
+        return []
+    sums = np.convolve(weight, np.ones(WINDOW, np.int64))  # sums[i]: lines i - WINDOW + 1 to i
+    least = min(SURGE, sums.max() / 2)
+    high = np.concatenate(([False], sums > 0, [False]))
+    rise, fall = np.flatnonzero(high[1:] & ~high[:-1]), np.flatnonzero(high[:-1] & ~high[1:])
+    # a rise begins with a line that weighs something; the fall comes WINDOW - 1 sums after the last one
+    return [(a, b - WINDOW) for a, b in zip(rise.tolist(), fall.tolist(), strict=True) if sums[a:b].max() >= least]
+
+
 def main_text(page: str | None) -> str:
     """The texts between surge and dive points, a block a line."""
     found = lines(page or "")
-    if not found:
-        return ""
-    marked = any(a and not c for _, _, c, a in found)
-    weight = np.array([0 if c or marked and not a else len(t) if marked else n for t, n, c, a in found])
-    window = np.convolve(weight, np.ones(WINDOW, int))  # window[i]: the sum of lines i-2 to i
-    least = 1 if marked else min(SURGE, max(1, int(window.max()) // 2))
-    kept: list[str] = []
-    i, n = 0, len(found)
-    while i < n:
-        if window[i : i + WINDOW].max() < least or not weight[i]:
-            i += 1
-            continue
-        stop = i
-        while stop < n and weight[stop : stop + WINDOW].any():
-            stop += 1
-        if marked or weight[i:stop].sum() >= least:
-            kept += [t for (t, p, c, a), w in zip(found[i:stop], weight[i:stop], strict=True) if not c and w and (marked or 2 * p >= len(t))]
-        i = stop
-    return "\n".join(kept)
+    return "\n".join(x.text for a, b in stretches(weights(found)) for x in found[a : b + 1] if not x.clutter)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
