@@ -3,7 +3,8 @@
 A word is the bag of itself and its character n-grams, hashed to buckets; its vector is their embeddings' mean, and
 a segment of SEGMENT words is its words' mean, which a linear softmax maps to the two classes. Embeddings and softmax
 are trained jointly in numpy (AdaGrad). Words that were never seen share n-grams with words that were. A document is as
-toxic as its most toxic segment, so long texts do not wash out a passage; training learns from the same segment.
+toxic as its most toxic segment, so long texts do not wash out a passage; training learns from the same segment. One mean
+over the whole text was tried: see the README for its figures.
 
 Null or empty texts and texts without words score 0. Null ids stay (held out), repeated rows each give a row, other
 columns are not read. With no labelled rows, or rows of one class only, every text scores that class's share (else 0).
@@ -25,7 +26,7 @@ from kgspark.llm.common import id_text, slices
 from kgspark.llm.training import held_out, labelled_sample
 
 BUCKETS, DIM, SEGMENT, NGRAMS = 1 << 16, 8, 12, (3, 4, 5)
-EPOCHS, WARM, RATE, BATCH = 16, 6, 1.0, 64
+EPOCHS, WARM, RATE, BATCH = 12, 4, 1.0, 256
 #: What AdaGrad's sums start from: rare n-grams move little, those of many toxic documents far.
 DAMPING = 1e-4
 #: Rows of each class that the fit takes at most.
@@ -68,6 +69,27 @@ class Bags:
         return np.add.reduceat(by_bucket[self.flat], self.at) / self.n if len(self.n) else np.zeros(0)
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] numbers, then those from begin[1], and so on."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def gradients(model: Model, ids: np.ndarray, share: np.ndarray, of: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The weighted cross entropy of some segments, summed, and its gradients: rows of the embeddings and theirs, the softmax's weights, its bias.
+
+    ids, share, of: buckets, what each is of its segment's mean, and its segment (rising).
+    """
+    hidden = np.add.reduceat(model.embeddings[ids] * share[:, None], np.flatnonzero(np.diff(of, prepend=-1)))
+    z = hidden @ model.weights + model.bias
+    z -= z.max(1, keepdims=True)
+    log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+    error = (np.exp(log_p) - np.eye(2, dtype=z.dtype)[label]) * weight[:, None]
+    back = error @ model.weights.T
+    rows, place = np.unique(ids, return_inverse=True)
+    by_row = np.stack([np.bincount(place, back[of, d] * share, len(rows)) for d in range(back.shape[1])], 1)
+    return float(-(weight * log_p[np.arange(len(label)), label]).sum()), rows, by_row, hidden.T @ error, error.sum(0)
+
+
 def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     """Each epoch takes every document's segment that scores highest so far (at first, all of toxic ones) and a random one of clean ones."""
     rng = np.random.default_rng(seed)
@@ -97,25 +119,18 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
         balance = np.where(label[doc[chosen]] == 1, 0.5 / max(1, (label[doc[chosen]] == 1).sum()), 0.5 / max(1, (label[doc[chosen]] == 0).sum())) * len(chosen)
         for k in range(0, len(chosen), BATCH):
             seg = chosen[k : k + BATCH]
-            word = flat[np.concatenate([np.arange(begin[s], begin[s] + count[s]) for s in seg])]
+            word = flat[spread(begin[seg], count[seg])]
             own = np.repeat(np.arange(len(seg)), count[seg])
-            ids = np.concatenate([bags.flat[bags.at[w] : bags.at[w] + bags.n[w]] for w in word])
+            ids = bags.flat[spread(bags.at[word], bags.n[word])]
             share = np.repeat(1.0 / (bags.n[word] * count[seg][own]), bags.n[word]).astype(np.float32)
             of = np.repeat(own, bags.n[word])
-            ends = np.flatnonzero(np.concatenate(([True], np.diff(of) > 0)))
-            hidden = np.add.reduceat(model.embeddings[ids] * share[:, None], ends)
-            z = hidden @ model.weights + model.bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            error = (p - np.eye(2, dtype=np.float32)[label[doc[seg]]]) * balance[k : k + BATCH, None].astype(np.float32)
-            back = error @ model.weights.T
-            for value, seen, grad in ((model.weights, seen_w, hidden.T @ error / len(seg)), (model.bias, seen_b, error.mean(0))):
+            _, rows, by_row, *others = gradients(model, ids, share, of, label[doc[seg]], balance[k : k + BATCH].astype(np.float32))
+            for value, seen, grad in zip((model.weights, model.bias), (seen_w, seen_b), others, strict=True):
+                grad = grad / len(seg)
                 seen += grad**2
                 value -= RATE * 0.2 * grad / np.sqrt(seen)
-            rows, inverse = np.unique(ids, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, back[of, d] * share, len(rows)) for d in range(DIM)], 1).astype(np.float32)
-            seen_e[rows] += grad**2
-            model.embeddings[rows] -= RATE * grad / np.sqrt(seen_e[rows])
+            seen_e[rows] += by_row**2
+            model.embeddings[rows] -= RATE * by_row / np.sqrt(seen_e[rows])
     return model
 
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from kgspark.llm import quality_knn, toxicity, training
 from tests.llm.conftest import prose
 
@@ -67,3 +68,63 @@ def test_sample_leaves_out_held_out_rows(spark, docs):
     learned = {int(t.split()[1]): y for t, y in sample}
     assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in learned)
     assert sum(y == 0 for y in learned.values()) == 10 and all(y == i % 2 for i, y in learned.items())
+
+
+def test_sample_takes_an_id_once_and_long_texts(spark, docs, monkeypatch):
+    """An id that stands 1500 times, with labels repeated too, is one row; texts of any length count until a class is full."""
+    one, *three = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:4]
+    ids = [one] * 1500 + three
+    table = docs(["same text"] * 1500 + [prose(1, 30_000), "short", "also short"], ids).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 1) for i in [one, one, *three, three[0]]], "doc_id long, quality int, toxic int")
+    sample = training.labelled_sample(table, labels, "toxic", {0: 5, 1: 5})
+    assert sorted(len(t) for t, _ in sample) == sorted([9, 5, 10, len(prose(1, 30_000))])
+    monkeypatch.setattr(training, "CLASS_CHARS", 1000)
+    assert sorted(t for t, _ in training.labelled_sample(table, labels, "toxic", {0: 5, 1: 5})) == ["also short", "same text", "short"]
+
+
+def test_votes_equal_a_loop_over_all_cosines():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(700, 6)).astype(np.float32)
+    known = rng.normal(size=(90, 6)).astype(np.float32)
+    vectors, known = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (vectors, known))
+    labels = rng.integers(0, 2, 90).astype(np.float32)
+    model = quality_knn.Model(np.ones(1), np.zeros((1, 6)), known, labels)
+    want = []
+    for v in vectors.astype(np.float64):
+        near = sorted(((float(v @ k), float(y)) for k, y in zip(known.astype(np.float64), labels, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
+        weight = [max(c, 1e-6) ** 4 for c, _ in near]
+        want.append(sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight))
+    assert np.allclose(quality_knn.vote(model, vectors), want, atol=1e-4)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=(30, 3)), rng.normal(size=(3, 2)), rng.normal(size=2))
+    of = np.repeat(np.arange(5), [4, 1, 7, 3, 6])
+    ids, share = rng.integers(0, 30, len(of)), rng.random(len(of))
+    label, weight = np.array([0, 1, 1, 0, 1]), rng.random(5) + 0.5
+    _, rows, by_row, weights, bias = toxicity.gradients(model, ids, share, of, label, weight)
+    whole = np.zeros((30, 3))
+    whole[rows] = by_row
+    for value, grad in ((model.embeddings, whole), (model.weights, weights), (model.bias, bias)):
+        for at in np.ndindex(value.shape):
+            was = value[at]
+            loss = []
+            for step in (1e-5, -1e-5):
+                value[at] = was + step
+                loss.append(toxicity.gradients(model, ids, share, of, label, weight)[0])
+            value[at] = was
+            assert abs((loss[0] - loss[1]) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_scores_equal_a_plain_reading():
+    """The score of the worst segment, word by word and bucket by bucket."""
+    model = toxicity.train([(prose(i, 60) + (" grumblok" if i % 2 else ""), i % 2) for i in range(40)])
+    for text in (prose(7, 100), prose(8, 23) + " grumblock snarvel", "one"):
+        words = toxicity.WORDS.findall(text.lower())
+        vectors = [np.mean([model.embeddings[b] for b in toxicity.buckets(w)], axis=0) for w in words]
+        best = 0.0
+        for k in range(0, len(words), toxicity.SEGMENT):
+            z = np.mean(vectors[k : k + toxicity.SEGMENT], axis=0) @ model.weights + model.bias
+            best = max(best, 1 / (1 + np.exp(z[0] - z[1])))
+        assert abs(toxicity.Scorer(model)([text])[0] - best) < 1e-5
