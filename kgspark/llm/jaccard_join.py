@@ -2,13 +2,14 @@
 
 Documents with equal shingle sets are one class; classes are joined.
 1. Two sets with a similarity of THRESHOLD share one of the first shingles of both, in any order of all shingles. The order
-   is by hash, with shingles that many classes have in that prefix last (found by counting, all documents, repeated ROUNDS
-   times); whatever that list holds, the join stays exact. Classes that share a prefix shingle meet in its group.
+   is by hash, with shingles that many classes have in that prefix last (found by counting, all documents, until no new one is
+   found); whatever that list holds, the join stays exact. Classes that share a prefix shingle meet in its group.
 2. In each group every class is compared with one of it, chosen by a hash of class and key, and links found there are
    contracted to components: members of a large group of near copies need not all be compared with one another.
 3. Shingles are hashed into DIMENSIONS groups; a class's counts by group are a point, and the sum of the coordinate minima of
-   two points bounds their overlap, and so do their shingles from the group's on, which is tried as if it were the first they share. Each group's points are packed in an R-tree, whose boxes' upper corners bound whole
-   nodes; pairs that survive and differ in component are
+   two points bounds their overlap, and so do their shingles from the group's on, which is tried as if it were the first they share.
+   The points of every group, of any size, are packed in an R-tree down to single points. A tree is joined with itself: pairs of
+   nodes whose boxes' upper corners, sizes or components rule all pairs below out are left with them. What pairs of points survive are
    bounded once more by points of as many dimensions as the sets are large, and the rest verified on the sets themselves.
 Groups of over GROUP_ROWS points are cut in blocks, and pairs of blocks are searched. Lists that go to all tasks are bounded
 (HOT_KEYS keys) or checked (BROADCAST_ROWS ids; beyond it the tables are joined by shuffling).
@@ -32,11 +33,13 @@ from kgspark.llm.common import id_text, mix, ngram_hashes, slices, word_hashes,
 from kgspark.llm.components import components
 
 SHINGLE, THRESHOLD, DIMENSIONS = 5, 80, 128
-#: A shingle in the prefixes of this many classes is put last; at most so many of them; so often they are counted anew.
-HOT, HOT_KEYS, ROUNDS, SALTS = 30, 1 << 18, 3, 64
-GROUP_ROWS, LEAF, SMALL_GROUP, BROADCAST_ROWS = 20_000, 32, 48, 1_000_000
-#: Groups of up to TOGETHER rows are dealt by their classes; pairs that a task remembers so as not to list them again.
-TOGETHER, MOST_TOLD = 4_000, 1_000_000
+#: A shingle in the prefixes of this many classes is put last; at most so many of them (what is hot beyond that is only salted).
+HOT, HOT_KEYS, SALTS = 30, 1 << 18, 64
+GROUP_ROWS, BROADCAST_ROWS = 20_000, 1_000_000
+#: Pairs of nodes that are bounded at once.
+NODE_PAIRS = 1 << 16
+#: Groups of up to TOGETHER rows that have much the same classes are dealt to DEALS tasks; pairs that a task remembers so as not to list them again.
+TOGETHER, DEALS, MOST_TOLD = 4_000, 16, 1_000_000
 #: A coordinate of this value stands for any larger count: its point is never pruned.
 FULL = 255
 
@@ -64,16 +67,16 @@ def class_id(shingles: np.ndarray) -> int:
     return total - (1 << 64) if total >> 63 else total
 
 
-def prefix(shingles: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a set in the common order, and how many of them are hot."""
+def among(shingles: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which shingles are among some others, which are sorted."""
+    return some[np.minimum(np.searchsorted(some, shingles), len(some) - 1)] == shingles if len(some) else np.zeros(len(shingles), bool)
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order."""
     p = len(shingles) + (-THRESHOLD * len(shingles)) // 100 + 1
-    if not len(hot):
-        return shingles[:p], 0
-    last = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
-    n_hot = int(last.sum())
-    if not n_hot:
-        return shingles[:p], 0
-    return np.concatenate((shingles[~last], shingles[last]))[:p], max(0, p - len(shingles) + n_hot)
+    last = among(shingles, hot)
+    return np.concatenate((shingles[~last], shingles[last]))[:p] if last.any() else shingles[:p]
 
 
 def point(shingles: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -91,54 +94,76 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * overlap >= THRESHOLD * (a + b - overlap)
 
 
-class Tree:
-    """An R-tree over the points of some sets: split at the median of the widest coordinate, LEAF points a leaf."""
+class Forest:
+    """R-trees over the points of the rows of many groups, all built at once, a level at a time.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.nodes: list[tuple[np.ndarray, int, int, np.ndarray | tuple[int, int]]] = []
-        self.points, self.sizes = points, sizes
-        self.root = self.pack(np.arange(len(points)))
+    A node is split in halves: by half (see self_join) if it has rows of both, by set size if sizes may rule links out, else at the median of its widest
+    coordinate. Each node has the upper corner of its box, the range of set sizes, the most that a set has left from the group's
+    shingle on, and the ranges of components and halves.
+    """
 
-    def pack(self, rows: np.ndarray) -> int:
-        own, size = self.points[rows], self.sizes[rows]
-        corner, low, high = own.max(0), int(size.min()), int(size.max())
-        if len(rows) <= LEAF:
-            inner = rows
-        else:
-            by = size if high * THRESHOLD > low * 100 else own[:, int(np.argmax(own.max(0).astype(int) - own.min(0)))]
-            order = rows[np.argsort(by, kind="stable")]
-            inner = (self.pack(order[: len(rows) // 2]), self.pack(order[len(rows) // 2 :]))
-        self.nodes.append((corner, low, high, inner))
-        return len(self.nodes) - 1
-
-    def possible(self, a: int, b: int) -> bool:
-        """Whether any sets below nodes a and b may reach the threshold: by size, and by the sum of coordinate minima."""
-        (x, low_a, high_a, _), (y, low_b, high_b, _) = self.nodes[a], self.nodes[b]
-        if 100 * high_a < THRESHOLD * low_b or 100 * high_b < THRESHOLD * low_a:
-            return False
-        if x.max() == FULL or y.max() == FULL:
-            return True
-        return bool(enough(np.minimum(x, y).astype(np.int64).sum(), low_a, low_b))
-
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of row numbers that may link: all pairs of leaves that the boxes cannot rule out, each once."""
-        stack = [(self.root, self.root)]
+    def __init__(self, start: np.ndarray, comp: np.ndarray, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray, half: np.ndarray):
+        begin, rows, n = np.asarray(start, np.int64), np.arange(len(comp)), 0
+        end = np.append(begin[1:], len(comp))
+        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+        self.roots = len(begin)
+        while len(begin):
+            size, flat = end - begin, rows[np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin) + np.arange((end - begin).sum())]
+            at = np.cumsum(size) - size
+            own = points[flat]
+            corner, low, high = np.maximum.reduceat(own, at), np.minimum.reduceat(sizes[flat], at), np.maximum.reduceat(sizes[flat], at)
+            ranges = [f.reduceat(x[flat], at) for x in (comp, half) for f in (np.minimum, np.maximum)]
+            more = size > 1
+            first_child = np.where(more, n + len(begin) + 2 * (np.cumsum(more) - 1), -1)
+            for column, x in zip(columns, (corner, low, high, np.maximum.reduceat(rest[flat], at), *ranges, np.where(more, first_child, -1 - flat[at])), strict=True):
+                column.append(x)
+            n += len(begin)
+            widest = np.argmax(corner - np.minimum.reduceat(own, at), 1)
+            by = own[np.arange(len(flat)), np.repeat(widest, size)].astype(np.int64)
+            by = np.where(np.repeat(high * THRESHOLD > low * 100, size), sizes[flat], by)
+            by = np.where(np.repeat(ranges[2] != ranges[3], size), half[flat], by)
+            rows = flat[np.lexsort((by, np.repeat(np.arange(len(begin)), size)))]
+            middle = at + size // 2
+            mixed = np.flatnonzero((ranges[2] != ranges[3]) & more)  # these are cut where the halves meet
+            if len(mixed):
+                middle[mixed] = at[mixed] + np.add.reduceat((half[flat] == np.repeat(ranges[2], size)).astype(np.int64), at)[mixed]
+            begin, end = np.stack([at, middle], 1)[more].ravel(), np.stack([middle, at + size], 1)[more].ravel()
+        self.corner, self.low, self.high, self.rest, self.comp_low, self.comp_high, self.half_low, self.half_high, self.child = (np.concatenate(c) for c in columns)
+        self.full = (self.corner == FULL).any(1)
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes may have a link below them: by component, half, size, what is left, and the sum of coordinate minima."""
+        keep = np.flatnonzero(
+            ((self.comp_low[a] != self.comp_high[b]) | (self.comp_high[a] != self.comp_low[b]))
+            & ((self.half_low[a] < 0) | (self.half_low[a] != self.half_high[b]) | (self.half_high[a] != self.half_low[b]))
+            & (100 * self.high[a] >= THRESHOLD * self.low[b]) & (100 * self.high[b] >= THRESHOLD * self.low[a])
+            & ((100 + THRESHOLD) * np.minimum(self.rest[a], self.rest[b]) >= THRESHOLD * (self.low[a] + self.low[b]))
+        )
+        x, y = a[keep], b[keep]
+        bound = np.minimum(self.corner[x], self.corner[y]).sum(1, dtype=np.int64)
+        return keep[enough(bound, self.low[x], self.low[y]) | self.full[x] | self.full[y]]
+
+    def self_join(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one tree and different components that no box rules out, each once; where half is 0 or 1, only of different halves."""
+        stack = [(np.arange(self.roots), np.arange(self.roots))]
         while stack:
             a, b = stack.pop()
-            if a != b and not self.possible(a, b):
-                continue
-            x, y = self.nodes[a][3], self.nodes[b][3]
-            if isinstance(x, tuple) and isinstance(y, tuple):
-                stack += [(x[0], y[0]), (x[1], y[1]), (x[0], y[1])] + ([(x[1], y[0])] if a != b else [])
-            elif isinstance(x, tuple):
-                stack += [(x[0], b), (x[1], b)]
-            elif isinstance(y, tuple):
-                stack += [(a, y[0]), (a, y[1])]
-            elif a == b:
-                i, j = np.triu_indices(len(x), 1)
-                yield x[i], x[j]
-            else:
-                yield np.repeat(x, len(y)), np.tile(y, len(x))
+            if len(a) > NODE_PAIRS:
+                stack += [(a[NODE_PAIRS:], b[NODE_PAIRS:])]
+                a, b = a[:NODE_PAIRS], b[:NODE_PAIRS]
+            keep = self.possible(a, b)
+            a, b = a[keep], b[keep]
+            x, y = self.child[a], self.child[b]
+            done = (x < 0) & (y < 0) & (a != b)
+            if done.any():
+                yield -1 - x[done], -1 - y[done]
+            one, two = (a == b) & (x >= 0), a != b
+            left, right, both = two & (x >= 0) & (y < 0), two & (x < 0) & (y >= 0), two & (x >= 0) & (y >= 0)
+            pairs = [(x[one], x[one]), (x[one] + 1, x[one] + 1), (x[one], x[one] + 1)]
+            pairs += [(x[left] + k, b[left]) for k in (0, 1)] + [(a[right], y[right] + k) for k in (0, 1)] + [(x[both] + k, y[both] + m) for k in (0, 1) for m in (0, 1)]
+            a, b = (np.concatenate(side) for side in zip(*pairs, strict=True))
+            if len(a):
+                stack.append((a, b))
 
 
 def survivors(i: np.ndarray, j: np.ndarray, points: np.ndarray, sizes: np.ndarray, full: np.ndarray | None = None) -> np.ndarray:
@@ -151,35 +176,14 @@ def survivors(i: np.ndarray, j: np.ndarray, points: np.ndarray, sizes: np.ndarra
 
 
 def group_pairs(start: np.ndarray, comp: np.ndarray, points: np.ndarray, sizes: np.ndarray, rank: np.ndarray, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of rows of one group (start: where groups begin) and different components; half: only pairs of different halves.
+    """Surviving pairs of rows of one group (start: where groups begin) and different components; half: where it is not -1, only pairs of different halves.
 
     rank: the place of the group's shingle in a row's order. Of the first shingle that two sets share, no more than what follows is shared;
     a pair that fails this meets again at an earlier shingle if it links.
     """
-    rest, full = sizes - rank, (points == FULL).any(1)
-    length, left, right = np.diff(np.append(start, len(comp))), [], []
-
-    def put(i: np.ndarray, j: np.ndarray) -> None:
-        new = comp[i] != comp[j]
-        if half is not None:
-            new &= (half[i] < 0) | (half[i] != half[j])
-        i, j = i[new], j[new]
-        first = (100 + THRESHOLD) * np.minimum(rest[i], rest[j]) >= THRESHOLD * (sizes[i] + sizes[j])
-        i, j = i[first], j[first]
-        some = survivors(i, j, points, sizes, full)
-        left.append(i[some]), right.append(j[some])
-
-    small = length <= SMALL_GROUP
-    until = np.repeat(np.where(small, start + length, start), length)  # a row's group ends there
-    for d in range(1, SMALL_GROUP):
-        i = np.flatnonzero(np.arange(len(comp)) + d < until)
-        if not len(i):
-            break
-        put(i, i + d)
-    for s, n in zip(start[~small].tolist(), length[~small].tolist(), strict=True):
-        for i, j in Tree(points[s : s + n], sizes[s : s + n]).pairs():
-            put(s + i, s + j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (start[:0], start[:0])
+    found = list(Forest(start, comp, points, sizes, sizes - rank, np.full(len(comp), -1) if half is None else half).self_join())
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *side]) for side in zip(*found, strict=True)) if found else (none, none)
 
 
 def _prefixes(docs: DataFrame, hot: np.ndarray, before: np.ndarray | None) -> DataFrame:
@@ -194,46 +198,48 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, before: np.ndarray | None) -> Da
                 if not len(s) or (c := class_id(s)) in seen:
                     continue
                 seen.add(c)
-                keys = prefix(s, hot)[0]
-                out.append(keys if before is None else np.setdiff1d(keys, prefix(s, before)[0], assume_unique=True))
+                keys = prefix(s, hot)
+                out.append(keys if before is None else np.setdiff1d(keys, prefix(s, before), assume_unique=True))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["key"])
 
     return docs.mapInArrow(run, "key long")
 
 
-def hot_keys(docs: DataFrame) -> np.ndarray:
-    """Sorted keys that HOT classes or more have in their prefix, then those that take their places, ROUNDS times."""
+def hot_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys that are put last: those that HOT classes or more have in their prefix, then those that take their places, until there are none.
+
+    And all keys that are hot: the same, unless they are more than HOT_KEYS; the rest of a last count is only salted.
+    """
     hot, before = np.zeros(0, np.uint64), None
-    for _ in range(ROUNDS):
-        many = _prefixes(docs, hot, before).groupBy("key").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(HOT_KEYS - len(hot) or 1)
-        new = np.array([r[0] for r in many.collect()], np.int64).view(np.uint64)
-        if not len(new) or len(hot) >= HOT_KEYS:
-            break
+    while True:
+        many = _prefixes(docs, hot, before).groupBy("key").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(HOT_KEYS)
+        new = np.setdiff1d(np.array([r[0] for r in many.collect()], np.int64).view(np.uint64), hot)
+        if not len(new) or len(hot) + len(new) > HOT_KEYS:
+            return hot, np.union1d(hot, new)
         hot, before = np.union1d(hot, new), hot
-    return hot
 
 
-def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, cls, n; for the first row of a class in a task also point, fine, keys and n_hot (of the keys, the last)."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+def described(docs: DataFrame, hot: np.ndarray, salted: np.ndarray) -> DataFrame:
+    """doc_id, cls, n; for the first row of a class in a task also point, fine, keys and whether they are salted."""
+    sent = docs.sparkSession.sparkContext.broadcast((hot, salted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, seen = sent.value, set()
+        (hot, salted), seen = sent.value, set()
         for part in slices(batches, 1):
             rows = []
             for s in shingle_sets(part.column(1).to_pylist()):
                 cls = class_id(s) if len(s) else None
                 if cls is None or cls in seen:
-                    rows.append((cls, len(s), None, None, None, 0))
+                    rows.append((cls, len(s), None, None, None, None))
                     continue
                 seen.add(cls)
-                keys, n_hot = prefix(s, hot)
-                rows.append((cls, len(s), point(s).tobytes(), fine_point(s).tobytes(), keys.view(np.int64), n_hot))
-            cls, n, points, fine, keys, n_hot = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n_hot, pa.int32())], ["doc_id", "cls", "n", "point", "fine", "keys", "n_hot"])
+                keys = prefix(s, hot)
+                rows.append((cls, len(s), point(s).tobytes(), fine_point(s).tobytes(), keys.view(np.int64), among(keys, salted)))
+            cls, n, points, fine, keys, salt = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(salt, pa.list_(pa.bool_()))], ["doc_id", "cls", "n", "point", "fine", "keys", "salted"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, point binary, fine binary, keys array<long>, n_hot int")
+    return docs.mapInArrow(run, "doc_id long, cls long, n long, point binary, fine binary, keys array<long>, salted array<boolean>")
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -311,7 +317,8 @@ def tree_candidates(groups: DataFrame, classes: DataFrame, component: DataFrame)
     parts = F.when(F.col("rows") <= GROUP_ROWS, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("half")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.ceil(F.col("rows") / GROUP_ROWS).cast("int") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), F.when(k == block, -1).when(block < k, 0).otherwise(1).alias("half")))
     )  # a block meets itself (half -1: all pairs) and each other block (pairs of different halves)
-    deal = F.when(F.col("rows") <= TOGETHER, F.col("sign")).otherwise(F.col("key"))  # groups of much the same classes meet in a task, which lists their pairs once
+    # groups of much the same classes meet in a few tasks, which list their pairs once
+    deal = F.when(F.col("rows") <= TOGETHER, F.xxhash64("sign", F.pmod(F.xxhash64("key"), F.lit(DEALS)))).otherwise(F.col("key"))
     dealt = rows.select("key", "cls", "component", "n", "at", "point", deal.alias("deal"), F.explode(parts).alias("p")).select("key", "p.i", "p.j", "p.half", "cls", "component", "n", "at", "point", "deal")
     dealt = dealt.repartition("deal", "i", "j").sortWithinPartitions("deal", "key", "i", "j", "cls")
 
@@ -355,11 +362,11 @@ def tree_candidates(groups: DataFrame, classes: DataFrame, component: DataFrame)
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (equal sets) and component_id (least id reachable by links) of every document."""
     docs = id_text(docs, id_col, text_col)
-    rows = written(described(docs, hot_keys(docs)), "described")
+    rows = written(described(docs, *hot_keys(docs)), "described")
     classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "classes")
-    place = F.posexplode("keys").alias("at", "key")
-    salt = F.when(F.col("at") >= F.col("size") - F.col("n_hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(-1)
-    postings = rows.select("cls", "n_hot", F.size("keys").alias("size"), place).select("key", "cls", "at", salt.alias("salt"))
+    place = F.posexplode(F.arrays_zip("keys", "salted")).alias("at", "k")
+    salt = F.when(F.col("k.salted"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(-1)
+    postings = rows.select("cls", place).select(F.col("k.keys").alias("key"), "cls", "at", salt.alias("salt"))
     own = W.partitionBy("key", "salt")
     head = F.min_by("cls", F.xxhash64("key", "cls"))
     met = postings.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own), "head": head.over(own)}).where("least < most OR salt >= 0").select("key", "cls", "at", "salt", "head")

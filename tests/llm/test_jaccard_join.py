@@ -70,7 +70,7 @@ def test_equals_brute_force(docs):
 
 def test_hot_shingles_trees_blocks_and_joins_change_nothing(docs, monkeypatch):
     ids, texts = corpus(2)
-    for name, value in (("HOT", 4), ("SMALL_GROUP", 3), ("LEAF", 2), ("GROUP_ROWS", 10), ("BROADCAST_ROWS", -1), ("SALTS", 3)):
+    for name, value in (("HOT", 4), ("NODE_PAIRS", 2), ("GROUP_ROWS", 10), ("BROADCAST_ROWS", -1), ("SALTS", 3), ("DEALS", 2)):
         monkeypatch.setattr(j, name, value)
     assert linked(docs, ids, texts) == sorted(brute(ids, texts), key=str)
 
@@ -90,18 +90,60 @@ def test_empty_table(docs):
     assert j.link(docs([])).count() == 0 and j.one_of_each(docs([])).count() == 0
 
 
-def test_tree_pairs_are_complete():
-    rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(20, 200, 40)]
-    sets += [np.unique(np.concatenate((s[: int(len(s) * 0.9)], rng.integers(0, 2**63, 3).astype(np.uint64)))) for s in sets]
-    points, sizes = np.stack([j.point(s) for s in sets]), np.array([len(s) for s in sets])
-    tree = j.Tree(points, sizes)
-    seen = {tuple(sorted(p)) for a, b in tree.pairs() for p in zip(a.tolist(), b.tolist(), strict=True)}
-    for a in range(len(sets)):
-        for b in range(a):
-            shared = len(np.intersect1d(sets[a], sets[b]))
-            if j.enough(shared, len(sets[a]), len(sets[b])):
-                assert (b, a) in seen and len(j.survivors(np.array([a]), np.array([b]), points, sizes)) == 1
+@pytest.mark.parametrize("seed", range(12))
+def test_forest_equals_all_pairs_of_each_group(seed, monkeypatch):
+    """What the trees leave of groups of any size is what the bounds leave of all pairs; every link is among it."""
+    monkeypatch.setattr(j, "NODE_PAIRS", 50)
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 150))
+    start = np.unique(np.append(0, rng.choice(n, min(n, 10))))
+    base = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for size in rng.integers(5, 400, 6)]
+    sets = []
+    for _ in range(n):
+        b = base[rng.integers(6)]
+        cut = rng.integers(0, len(b) // 4 + 1)
+        sets.append(np.unique(np.concatenate((b[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)))))
+    points, sizes = np.stack([j.point(x) for x in sets]), np.array([len(x) for x in sets])
+    comp, rank, half = rng.integers(0, 8, n), rng.integers(0, 2, n), rng.integers(0, 2, n) if seed % 2 else np.full(n, -1)
+    got = [tuple(sorted(p)) for p in zip(*(x.tolist() for x in j.group_pairs(start, comp, points, sizes, rank, half)), strict=True)]
+    want, links = set(), set()
+    for begin, end in zip(start.tolist(), [*start[1:].tolist(), n], strict=True):
+        for a in range(begin, end):
+            for b in range(begin, a):
+                if comp[a] == comp[b] or half[a] >= 0 and half[a] == half[b]:
+                    continue
+                if j.enough(len(np.intersect1d(sets[a], sets[b])), sizes[a], sizes[b]):
+                    links.add((b, a))
+                left = min(sizes[a] - rank[a], sizes[b] - rank[b])
+                if (100 + j.THRESHOLD) * left >= j.THRESHOLD * (sizes[a] + sizes[b]) and len(j.survivors(np.array([a]), np.array([b]), points, sizes)):
+                    want.add((b, a))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert seed or links and links <= want
+
+
+def test_forest_leaves_out_whole_nodes():
+    """Unlike sets are ruled out far above the points: far fewer pairs of nodes are bounded than there are pairs of rows."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.multinomial(300, p, 250) for p in rng.dirichlet(np.full(j.DIMENSIONS, 0.05), 8)]).astype(np.uint8)
+    forest = j.Forest(np.array([0]), np.arange(2000), points, np.full(2000, 300), np.full(2000, 300), np.full(2000, -1))
+    bounded, possible = [], forest.possible
+    forest.possible = lambda a, b: bounded.append(len(a)) or possible(a, b)
+    kept = sum(len(i) for i, _ in forest.self_join())
+    assert kept < sum(bounded) < 0.2 * 2000 * 1999 / 2
+
+
+def test_all_hot_keys_of_near_copies_are_salted(docs):
+    """Of many copies with a word or two changed, no key stays that HOT classes or more share and that is not salted."""
+    rng = random.Random(9)
+    base = prose(31, 200)
+    table = docs([edited(base, rng, 2) for _ in range(120)]).select("doc_id", "text")
+    last, salted = j.hot_keys(table)
+    assert np.isin(last, salted).all()
+    counts = {}
+    for r in j.described(table, last, salted).collect():
+        for key, salt in zip(r["keys"] or [], r["salted"] or [], strict=True):
+            counts[key] = counts.get(key, 0) + (not salt)
+    assert max(counts.values()) < 2 * j.HOT
 
 
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101), (101, 102), (102, 100)], [(i, i // 2) for i in range(1, 64)]])
