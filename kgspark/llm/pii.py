@@ -1,35 +1,77 @@
 """Surrogates for personal data and secrets, in SQL functions only.
 
 One pattern finds e-mail addresses, phone numbers, IP and MAC addresses, payment cards, IBANs, social security numbers,
-credentials and names after a title. Each entity is replaced by a surrogate that a secret key and the entity's canonical
-form (letters and digits, small) determine: the same entity has the same surrogate wherever it occurs and however it is
-punctuated (coreference), and the surrogate has its type, length, punctuation, capitals and script. Cards keep their first
-digit and stay valid under the check digit rule where they were; IP octets stay octets; phones keep the country code, mail addresses the top domain;
-hexadecimal secrets stay hexadecimal; given names are drawn for the title's gender.
-
-Collision check: over all distinct entities, by their part that is replaced (without title, given name, prefix and punctuation, so
-one check covers every spelling), a surrogate that two share or that is itself an entity of the corpus goes to
-the smallest (unless it is an entity) and the others draw again, until all differ; a name that
-finds none of its length gets one more letter. Only the entities that drew again are
-kept as a table; documents with one of them are joined with it by entity, so nothing grows with the corpus but that table.
-
-Null or empty text stays as it is, with 0 entities. Null ids stay, repeated rows each give a row. All columns are
-returned as they came, but for text; the names of other columns do not matter unless they start with __pii.
+credentials and names of persons: after a title, after words that introduce a name ("my name is", "Dear", "Author:"), or
+a common given name before a family name. A second search of the same text finds the bare words of the names that were
+found in it, so every mention of a person is replaced: full name, given name or family name alone.
+
+Each entity is replaced by a surrogate that a secret key and the entity's canonical form (letters and digits, small)
+determine: the same entity has the same surrogate wherever it occurs and however it is punctuated. The words of a name
+are entities of their own, so mentions agree (coreference), and two persons of one family still share their surname.
+Surrogates have the type, length, punctuation, capitals and script of what they stand for. Cards keep their first digit
+and stay valid under the check digit rule where they were; IP octets stay octets; phones keep the country code, mail
+addresses the top domain; hexadecimal secrets stay hexadecimal; given names are built with endings of the person's gender.
+
+Collision check: over all distinct entities (without title, prefix and punctuation, so one check covers every spelling), a
+surrogate that two share or that is itself an entity of the corpus goes to the smallest (unless it is an entity) and the
+others draw again, until all differ; what finds none of its length gets longer by a letter or digit every LONGER_AFTER
+draws, so no corpus runs out of surrogates. Only IP addresses cannot grow: after IP_ROUNDS draws they keep the last.
+Only the entities that drew again are kept as a table; documents with one of them are joined with it by entity, so nothing
+grows with the corpus but that table.
+
+Null or empty text stays as it is, with 0 entities. What is masked already (no letter or digit) stays. Null ids stay,
+repeated rows each give a row. All columns are returned as they came, but for text; a column that has the count's name is
+replaced by the count. Names of other columns do not matter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import written
 from kgspark.llm.quality_rules import let
 
-#: Titles by gender, and given names to draw from.
-TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "x": ["Dr", "Prof"]}
-GIVEN = {"m": ["Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "Jonas", "Louis", "Marco", "Oscar"], "f": ["Alice", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Julia", "Laura", "Maria", "Nora"], "x": ["Alex", "Andrea", "Chris", "Kim", "Robin", "Sascha"]}
-GIVEN_CYRILLIC = {"m": ["Антон", "Борис", "Виктор", "Иван", "Олег", "Павел"], "f": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина"], "x": ["Женя", "Саша"]}
+#: Titles by gender, words that introduce a name, what follows them without being one, and what stands between the words of a name.
+TITLES = {
+    "m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor"],
+    "f": ["Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora"],
+    "x": ["Dr", "Doctor", "Prof", "Professor"],
+}
+ABBREVIATED = ["Mr", "Mrs", "Ms", "Sr", "Sra", "Mme", "Dr", "Prof"]
+CUES = [
+    "my name is", "name is", "name:", "i am called", "call me", "signed", "signed by", "sincerely", "regards", "dear", "attn:", "attention:", "author:",
+    "mein name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "mi chiamo", "меня зовут",
+]
+NO_NAMES = ["Sir", "Madam", "All", "Customer", "Customers", "Friend", "Friends", "Team", "Colleague", "Colleagues", "Reader", "Readers", "Editor", "God", "Lord"]
+PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "al", "bin", "zu"]
+#: Common given names by gender, without those that are common words too.
+GIVEN = {
+    "f": [
+        "Alice", "Amanda", "Amy", "Ana", "Andrea", "Anna", "Ashley", "Barbara", "Camille", "Carmen", "Carol", "Caroline", "Claudia", "Deborah", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Fatima", "Hannah",
+        "Heather", "Helen", "Isabel", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Kimberly", "Laura", "Linda", "Lisa", "Lucia", "Margaret", "Maria", "Marie", "Martina", "Mary", "Melissa",
+        "Michelle", "Monika", "Nancy", "Olivia", "Patricia", "Rachel", "Rebecca", "Sandra", "Sarah", "Sofia", "Sophia", "Sophie", "Stephanie", "Susan", "Teresa", "Ursula", "Анна", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Татьяна",
+    ],
+    "m": [
+        "Alexander", "Ali", "Andrew", "Anthony", "Antonio", "Benjamin", "Brian", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "Eric", "Francisco", "George", "Hans", "Henry", "Jacob", "Jacques",
+        "James", "Jason", "Javier", "Jean", "Jeffrey", "John", "Jonathan", "José", "Joseph", "Joshua", "Juan", "Jürgen", "Kenneth", "Kevin", "Klaus", "Larry", "Luis", "Matthew", "Michael", "Michel", "Miguel",
+        "Mohammed", "Nicholas", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Ronald", "Ryan", "Stefan", "Stephen", "Steven", "Thomas", "Timothy", "William", "Wolfgang", "Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Сергей",
+    ],
+}
+#: Endings of built given names by gender.
+ENDINGS = {"f": ["a", "ia", "ina", "ella", "ine"], "m": ["o", "an", "us", "er", "ik"], "x": ["i", "y", "el", "is", "e"]}
+ENDINGS_CYRILLIC = {"f": ["а", "ия", "ина"], "m": ["ан", "ий", "ей"], "x": ["и", "я", "ель"]}
+
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
+_CUE = "|".join(CUES)
+_WORD = r"\p{Lu}(?:\p{L}+(?:['’-]\p{L}{2,})*|['’]\p{L}{2,})"
+_BETWEEN = rf"[ \t]+(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)})[ \t]+){{0,3}}"
+_NAME = rf"{_WORD}(?:{_BETWEEN}{_WORD}){{0,2}}"
+_TITLE_LEAD = rf"(?:(?:(?:{'|'.join(ABBREVIATED)})\.|(?:{_TITLE}))[ \t]+){{1,3}}"
+_CUE_LEAD = rf"(?i:{_CUE})[:,]?[ \t]*\n?[ \t]*(?:{_TITLE_LEAD})?"
+_KNOWN = "|".join(n for g in GIVEN.values() for n in g)
 #: Types in the order in which they are tried at a place of the text.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
@@ -42,17 +84,18 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|\+\d{8,14}(?!\d)|(?<!\d)\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "name": rf"\b(?:{_TITLE})\.?[ \t]+\p{{Lu}}[\p{{L}}'’-]+(?:[ \t]+\p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE_LEAD}{_NAME}|{_CUE_LEAD}(?!(?:{'|'.join(NO_NAMES)})\b){_NAME}|(?=\p{{Lu}})(?:{_KNOWN}){_BETWEEN}{_WORD})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity: it is not searched further.
-HINT = rf"[@\d]|-----BEGIN|[:=]|\b(?:{_TITLE})\b"
+HINT = rf"[@\d]|-----BEGIN|[:=]|\b(?:{_TITLE})\b|(?i:\b(?:{_CUE}))|\b(?=\p{{Lu}})(?:{_KNOWN})[ \t]"
 LEAD = r"""^(?i:(?:password|passwd|pwd|passphrase|token|api[_-]?key|access[_-]?key|client[_-]?secret|secret|auth)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)"""
-TITLE_LEAD = rf"^(?:{_TITLE})\.?[ \t]+"
+NAME_LEAD = rf"^(?:{_TITLE_LEAD}|{_CUE_LEAD})"
 KEEPS = {"key": r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)"}
-MAX_ROUNDS, LONGER_AFTER = 64, 8
+LONGER_AFTER, IP_ROUNDS = 4, 64
 #: Letters and what may stand for them.
 VOWELS, CONSONANTS, HEX, LETTERS, DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
 CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
@@ -64,10 +107,10 @@ def kind_of(value: Column) -> Column:
 
 
 def lead_of(kind: Column, value: Column) -> Column:
-    """What stands before the part to replace: a credential's name, a title, a key's prefix, a phone's country code, a private key's mark."""
+    """What stands before the part to replace: a credential's name, a title or introduction, a key's prefix, a phone's country code, a private key's mark."""
     return (
         F.when(kind == "credential", F.regexp_extract(value, LEAD, 0))
-        .when(kind == "name", F.regexp_extract(value, TITLE_LEAD, 0))
+        .when(kind == "name", F.regexp_extract(value, NAME_LEAD, 0))
         .when(kind == "key", F.regexp_extract(value, KEEPS["key"], 0))
         .when(kind == "phone", F.regexp_extract(value, r"^\+(?:[17]|\d{2})", 0))
         .when(kind == "iban", F.substring(value, 1, 2))
@@ -119,36 +162,107 @@ def luhn_sum(digits: Column) -> Column:
     return F.pmod(F.aggregate(parts, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def surrogate(key: str, p: Column, attempt: Column) -> Column:
-    """The canonical surrogate of the body of an entity's parts; an IP address's octets."""
-    seed = F.concat(F.lit(f"{key}|"), p["kind"], F.lit("|"), p["canon"], F.lit("|"), attempt.cast("string"))
-    hexadecimal, spoken = p["own"].rlike("^[0-9a-f]+$"), p["kind"].isin("name", "email")
+def gender_of(lead: Column, word: Column) -> Column:
+    """f, m or x: by title, else by the given name."""
+    out = F.lit("x")
+    for g in ("m", "f"):
+        out = F.when(word.rlike(rf"^(?i:{'|'.join(GIVEN[g])})$"), F.lit(g)).otherwise(out)
+    for g in ("m", "f"):
+        out = F.when(lead.rlike(rf"\b(?:{'|'.join(TITLES[g])})\b"), F.lit(g)).otherwise(out)
+    return out
+
+
+def words_of(name: Column) -> Column:
+    """The words of a name that are replaced as one of its parts: not particles, not initials."""
+    return F.filter(F.split(name, r"[ \t]+"), lambda w: w.rlike(rf"^{_WORD}$"))
+
+
+def people(value: Column) -> Column:
+    """The words of a name with what each is: kind (family, given_f, given_m, given_x), canon, word.
+
+    The last of several is the family name; a single word is one after a title, or if it is no common given name.
+    """
+
+    def of(lead: Column) -> Column:
+        words = words_of(F.substring(value, F.length(lead) + 1, F.length(value)))
+        titled = lead.rlike(rf"\b(?:{_TITLE})\b")
+
+        def one(all_: Column) -> Column:
+            def kind(w: Column, i: Column) -> Column:
+                last = i == F.size(all_) - 1
+                family = last & ((F.size(all_) > 1) | titled | ~w.rlike(rf"^(?i:{_KNOWN})$"))
+                return F.when(family, F.lit("family")).otherwise(F.concat(F.lit("given_"), gender_of(lead, w)))
+
+            return F.transform(all_, lambda w, i: F.struct(kind(w, i).alias("kind"), canonical(F.lit("name"), w).alias("canon"), w.alias("word")))
+
+        return let(words, one)
+
+    return let(F.regexp_extract(value, NAME_LEAD, 0), of)
+
+
+def parts(value: Column, kind: Column) -> Column:
+    """An entity that is no name as kind, lead, body, tail and canon (of body)."""
+    return let(
+        F.struct(lead_of(kind, value).alias("lead"), tail_of(kind, value).alias("tail")),
+        lambda p: let(
+            F.substring(value, F.length(p["lead"]) + 1, F.length(value) - F.length(p["lead"]) - F.length(p["tail"])),
+            lambda body: F.struct(kind.alias("kind"), p["lead"].alias("lead"), body.alias("body"), p["tail"].alias("tail"), canonical(kind, body).alias("canon")),
+        ),
+    )
+
+
+def units(value: Column) -> Column:
+    """What of an entity has a surrogate of its own: the words of a name, or the one body."""
+    return let(
+        kind_of(value),
+        lambda kind: F.when(kind == "name", F.transform(people(value), lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon")))).otherwise(
+            F.array(let(parts(value, kind), lambda p: F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"))))
+        ),
+    )
+
+
+def drawn_letters(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The surrogate of a unit as small letters and digits; an IP address's octets."""
+    seed = F.concat(F.lit(f"{key}|"), kind, F.lit("|"), canon, F.lit("|"), attempt.cast("string"))
+    hexadecimal, spoken = canon.rlike("^[0-9a-f]+$") & (kind != "family"), kind.isin("family", "email")
+    longer = F.floor(attempt / LONGER_AFTER).cast("int")
 
-    def made(s: Column) -> Column:
-        chars = F.filter(F.split(p["own"], ""), lambda c: c != "")
-        letters = F.array_join(F.transform(chars, lambda c, i: let(drawn(s, i), lambda number: replaced_letter(c, hexadecimal, spoken, number))), "")
-        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(drawn(s, i), F.lit(254)) + 1).cast("string")), ".")
-        return F.when(p["kind"] == "ip", octets).otherwise(letters)
+    def given(sd: Column) -> Column:
+        cyrillic = canon.rlike(r"\p{IsCyrillic}")
 
-    return let(seed, made)
+        def built(consonants: str, vowels: str, endings: dict[str, list[str]]) -> Column:
+            syllables = F.array_join(F.transform(F.sequence(F.lit(0), longer), lambda i: F.concat(pick(consonants, drawn(sd, 3 * i)), pick(vowels, drawn(sd, 3 * i + 1)))), "")
+            end = F.lit(endings["x"][0])
+            for g, ends in endings.items():
+                end = F.when(kind == f"given_{g}", F.get(F.array(*map(F.lit, ends)), F.pmod(drawn(sd, F.lit(2)), F.lit(len(ends))))).otherwise(end)
+            return F.concat(syllables, pick(consonants, drawn(sd, F.lit(5))), end)
 
+        return F.when(cyrillic, built(CYRILLIC_CONSONANTS, CYRILLIC_VOWELS, ENDINGS_CYRILLIC)).otherwise(built(CONSONANTS, VOWELS, ENDINGS))
 
-def more_letters(key: str, p: Column, attempt: Column) -> Column:
-    """Letters put after a name that found no free surrogate of its length: one for every LONGER_AFTER draws."""
-    seed = F.concat(F.lit(f"{key}|more|"), p["canon"], F.lit("|"), attempt.cast("string"))
-    last = F.substring(p["own"], F.greatest(F.length(p["own"]), F.lit(1)), F.lit(1))
-    n = F.floor(attempt / LONGER_AFTER).cast("int")
-    letters = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: replaced_letter(last, F.lit(False), F.lit(True), drawn(seed, i))), "")
-    return F.when((p["kind"] == "name") & (n > 0), letters).otherwise("")
+    def made(sd: Column) -> Column:
+        chars = F.filter(F.split(canon, ""), lambda c: c != "")
+        last = F.substring(canon, F.greatest(F.length(canon), F.lit(1)), F.lit(1))
+        letters = F.transform(chars, lambda c, i: let(drawn(sd, i), lambda number: replaced_letter(c, hexadecimal, spoken, number)))
+        more = F.when(longer > 0, F.transform(F.sequence(F.lit(1), F.greatest(longer, F.lit(1))), lambda i: replaced_letter(last, hexadecimal, spoken, drawn(sd, F.length(canon) + i)))).otherwise(F.array().cast("array<string>"))
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(drawn(sd, i), F.lit(254)) + 1).cast("string")), ".")
+        return F.when(kind == "ip", octets).when(kind.startswith("given_"), given(sd)).otherwise(F.array_join(F.concat(letters, more), ""))
+
+    return F.when(canon == "", F.lit("")).otherwise(let(seed, made))
+
+
+def judged_as(kind: Column) -> Column:
+    """Kinds that no two surrogates share: given names of all genders are one."""
+    return F.when(kind.startswith("given_"), F.lit("given")).otherwise(kind)
 
 
 def told_apart(kind: Column, own: Column) -> Column:
-    """What no two surrogates share, whatever the title, prefix, given name and punctuation: the body; of a card, without the check digit."""
+    """What no two surrogates share, whatever the title, prefix and punctuation: all; of a card, without the check digit."""
     return F.when(kind == "card", F.substring(own, F.lit(1), F.length(own) - 1)).otherwise(own)
 
 
 def reformatted(value: Column, letters: Column) -> Column:
-    """The canonical surrogate with the value's punctuation and capitals."""
+    """Small letters with the value's punctuation and capitals; those that the value has no place for come last."""
+    shout = (F.upper(value) == value) & (F.lower(value) != value) & (F.length(value) > 1)
 
     def place(s: Column) -> Column:
         chars = F.filter(F.split(value, ""), lambda c: c != "")
@@ -158,55 +272,26 @@ def reformatted(value: Column, letters: Column) -> Column:
                 F.struct(F.concat(a["out"], let(F.substring(s, a["k"], F.lit(1)), lambda x: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(x)).otherwise(x))).alias("out"), (a["k"] + 1).alias("k"))
             ),
         )
-        return done["out"]
+        return let(done, lambda d: let(F.substring(s, d["k"], F.length(s)), lambda rest: F.concat(d["out"], F.when(shout, F.upper(rest)).otherwise(rest))))
 
     return let(letters, place)
 
 
-def given_name(lead: Column, name: Column, seed: Column) -> Column:
-    """A given name of the title's gender, in the script of the name it stands for."""
-
-    def of(g: str) -> Column:
-        return F.when(name.rlike(r"\p{IsCyrillic}"), pick_of(GIVEN_CYRILLIC[g], seed)).otherwise(pick_of(GIVEN[g], seed))
-
-    return F.when(lead.rlike(rf"^(?:{'|'.join(TITLES['f'])})\b"), of("f")).when(lead.rlike(rf"^(?:{'|'.join(TITLES['m'])})\b"), of("m")).otherwise(of("x"))
-
-
-def pick_of(names: list[str], seed: Column) -> Column:
-    return F.get(F.array(*map(F.lit, names)), F.pmod(drawn(seed, F.lit(0)), F.lit(len(names))))
-
-
-def parts(value: Column) -> Column:
-    """An entity as kind, lead, given (a given name before a family name), body, tail and canon (of body)."""
-    return let(
-        kind_of(value),
-        lambda kind: let(
-            F.struct(kind.alias("kind"), lead_of(kind, value).alias("lead"), tail_of(kind, value).alias("tail")),
-            lambda p: let(
-                F.substring(value, F.length(p["lead"]) + 1, F.length(value) - F.length(p["lead"]) - F.length(p["tail"])),
-                lambda rest: let(
-                    F.when(p["kind"] == "name", F.regexp_extract(rest, r"^([\p{L}'’-]+[ \t]+)\p{Lu}", 1)).otherwise(""),
-                    lambda given: let(
-                        F.substring(rest, F.length(given) + 1, F.length(rest)),
-                        lambda body: F.struct(p["kind"].alias("kind"), p["lead"].alias("lead"), given.alias("given"), body.alias("body"), p["tail"].alias("tail"), F.concat(canonical(p["kind"], body), F.when((p["kind"] == "name") & (given != ""), F.concat(F.lit(" "), F.lower(F.trim(given)))).otherwise("")).alias("canon"), canonical(p["kind"], body).alias("own")),
-                    ),
-                ),
-            ),
-        ),
-    )
-
-
 def spelled(key: str, p: Column, attempt: Column) -> Column:
     """The whole surrogate of an entity's parts, in the entity's format."""
-    own = surrogate(key, p, attempt)
-    given = F.when(p["given"] == "", F.lit("")).otherwise(F.concat(given_name(p["lead"], p["given"], F.concat(F.lit(f"{key}|given|"), p["canon"], F.lit("|"), attempt.cast("string"))), F.regexp_extract(p["given"], r"[ \t]+$", 0)))
-    more = let(more_letters(key, p, attempt), lambda m: F.when(F.upper(p["body"]) == p["body"], F.upper(m)).otherwise(m))
-    body = F.when(p["kind"] == "ip", own).otherwise(F.concat(reformatted(p["body"], own), more))
-    whole = F.concat(p["lead"], given, body, p["tail"])
+    own = drawn_letters(key, p["kind"], p["canon"], attempt)
+    body = F.when(p["kind"] == "ip", own).otherwise(reformatted(p["body"], own))
+    whole = F.concat(p["lead"], body, p["tail"])
     # the check digit runs over the whole number, first digit included
     return F.when(p["kind"] == "card", let(whole, lambda w: with_check_digit(F.concat(p["lead"], p["body"]), w))).otherwise(whole)
 
 
+def spelled_word(key: str, u: Column, word: Column, attempt: Column) -> Column:
+    """A word of a name; family names keep their places of capitals, given names are built anew."""
+    own = drawn_letters(key, u["kind"], u["canon"], attempt)
+    return F.when(u["kind"] == "family", reformatted(word, own)).when(F.upper(word) == word, F.upper(own)).otherwise(F.initcap(own))
+
+
 def with_check_digit(value: Column, drawn_value: Column) -> Column:
     digits = F.regexp_replace(drawn_value, r"\D", "")
     stem = F.substring(drawn_value, F.lit(1), F.length(drawn_value) - 1)
@@ -218,51 +303,68 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def canonical_draw(key: str, value: Column, attempt: int) -> Column:
-    """The surrogate of an entity as collisions are judged: the same for all its spellings."""
-    return let(parts(value), lambda p: told_apart(p["kind"], F.concat(surrogate(key, p, F.lit(attempt)), more_letters(key, p, F.lit(attempt)))))
+def drawn_again(found: DataFrame, key: str) -> DataFrame | None:
+    """kind, canon and attempt of the units whose first surrogates collide, if any; found: distinct kind, canon."""
+    kind, canon = F.col("kind"), F.col("canon")
 
+    def draw(rows: DataFrame, attempt: int) -> DataFrame:
+        return written(rows.select("kind", "canon", judged_as(kind).alias("judged"), told_apart(kind, drawn_letters(key, kind, canon, F.lit(attempt))).alias("s")), "pii-draws")
 
-def drawn_again(found: DataFrame, key: str) -> DataFrame:
-    """canon, kind and attempt of the entities whose first surrogates collide; found: distinct kind, canon, sample (an entity)."""
-    everyone = written(found.withColumn("s", let(parts(F.col("sample")), lambda p: told_apart(p["kind"], p["own"]))).withColumn("s0", canonical_draw(key, F.col("sample"), 0)), "pii-entities")
-    taken = everyone.select("kind", F.col("s").alias("s0"), F.lit(None).cast("string").alias("canon"), F.lit(1).alias("real"))
-    rows, again, attempt = everyone.select("kind", "canon", "sample", "s0"), None, 0
+    first = draw(found.where("canon <> ''"), 0)
+    taken, rows, again, attempt = [first.select("judged", told_apart(kind, canon).alias("s"))], first, [], 0
     while True:
-        drawn_rows = rows.select("kind", "s0", "canon", F.lit(0).alias("real"))
-        judged = taken.unionByName(drawn_rows).groupBy("kind", "s0").agg(F.max("real").alias("real"), F.min("canon").alias("keeper"), F.count("canon").alias("n")).where("n > 0 AND (real = 1 OR n > 1)")
-        losers = written(rows.join(judged, ["kind", "s0"]).where("real = 1 OR canon <> keeper").select("kind", "canon", "sample"), "pii-again")
-        if losers.isEmpty():
-            return again if again is not None else found.select("kind", "canon", F.lit(0).alias("attempt")).limit(0)
+        held = reduce(DataFrame.unionByName, taken).select("judged", "s", F.lit(None).cast("string").alias("who"), F.lit(1).alias("real"))
+        judged = held.unionByName(rows.select("judged", "s", F.concat_ws("|", "canon", "kind").alias("who"), F.lit(0).alias("real"))).groupBy("judged", "s").agg(F.max("real").alias("real"), F.min("who").alias("keeper"), F.count("who").alias("n")).where("n > 0 AND (real = 1 OR n > 1)")
+        losers = rows.join(judged, ["judged", "s"]).where(F.expr("real = 1 OR concat_ws('|', canon, kind) <> keeper")).select("kind", "canon")
         attempt += 1
-        if attempt > MAX_ROUNDS:
-            raise ValueError(f"no free surrogates are left for some entities after {MAX_ROUNDS} draws")
-        mine = losers.select("kind", "canon", F.lit(attempt).alias("attempt"))
-        again = mine if again is None else again.join(losers, ["kind", "canon"], "left_anti").unionByName(mine)
-        taken = taken.unionByName(drawn_rows.withColumn("real", F.lit(1)).withColumn("canon", F.lit(None).cast("string")))
-        rows = losers.withColumn("s0", canonical_draw(key, F.col("sample"), attempt))
-
-
-def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col, and __pii_entities, the number of entities replaced."""
-    text = F.col(text_col)
-    found = docs.select(F.explode(entities(text)).alias("sample")).groupBy("sample").count().select("sample", parts(F.col("sample")).alias("p"))
-    distinct = found.groupBy("p.kind", "p.canon").agg(F.min("sample").alias("sample"))
-    again = drawn_again(distinct, key)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    split = docs.select(*columns, entities(text).alias("__pii_found"))
-
-    def filled(attempts: Column | None) -> Column:
-        def one(v: Column) -> Column:
-            return let(parts(v), lambda p: spelled(key, p, F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat(p["kind"], F.lit("|"), p["canon"])), F.lit(0))))
-
-        between = F.split(text, ENTITY, -1)
-        return F.when(F.size("__pii_found") == 0, text).otherwise(let(between, lambda b: let(F.transform(F.col("__pii_found"), one), lambda s: F.array_join(F.transform(b, lambda x, i: F.concat(x, F.coalesce(F.get(s, i), F.lit("")))), ""))))
-
+        lost = draw(losers if attempt < IP_ROUNDS else losers.where("kind <> 'ip'"), attempt)
+        if lost.isEmpty():
+            break
+        again.append(lost.select("kind", "canon", F.lit(attempt).alias("attempt")))
+        taken.append(rows.select("judged", "s"))
+        rows = lost
+    return reduce(DataFrame.unionByName, again).groupBy("kind", "canon").agg(F.max("attempt").alias("attempt")) if again else None
+
+
+def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "__pii_entities") -> DataFrame:
+    """docs with surrogates in text_col, and count_col, the number of entities replaced."""
+    text, kept = F.col(f"`{text_col}`"), [c for c in docs.columns if c != count_col]
+    found = docs.select(F.explode(entities(text)).alias("sample")).groupBy("sample").count().select(F.explode(units(F.col("sample"))).alias("u"))
+    again = drawn_again(found.groupBy("u.kind", "u.canon").count().select("kind", "canon"), key)
+    # the original columns are one, so that names of our own cannot clash with theirs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)]).alias("row"), text.alias("text"), entities(text).alias("found"))
+    rows = rows.withColumn("people", F.when(F.size("found") > 0, F.flatten(F.transform(F.filter("found", lambda v: kind_of(v) == "name"), people))).otherwise(F.expr("CAST(array() AS array<struct<kind:string,canon:string,word:string>>)")))
+    words = F.array_distinct(F.flatten(F.transform("people", lambda p: F.array(p["word"], F.upper(p["word"])))))
+    rows = rows.withColumn("pattern", F.when(F.size("people") > 0, F.concat(F.lit(f"{ENTITY}|(?<![\\p{{L}}\\p{{N}}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))))
+    named = F.col("pattern").isNotNull()
+    rows = rows.withColumns({"all": F.when(named, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")), "between": F.when(named, F.split("text", F.col("pattern"), -1)).when(F.size("found") > 0, F.split("text", ENTITY, -1))})
     attempts = None
-    if not again.isEmpty():
-        keyed = split.withColumn("__pii_key", F.xxhash64(text))
-        places = keyed.where(F.size("__pii_found") > 0).select("__pii_key", F.explode("__pii_found").alias("v")).distinct().select("__pii_key", parts(F.col("v")).alias("p")).select("__pii_key", "p.kind", "p.canon")
-        by_text = places.join(again, ["kind", "canon"]).distinct().groupBy("__pii_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "attempt"))).alias("__pii_attempts"))
-        split, attempts = keyed.join(by_text, "__pii_key", "left").drop("__pii_key"), F.col("__pii_attempts")
-    return split.select(*[filled(attempts).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.when(text.isNull(), 0).otherwise(F.size("__pii_found")).alias("__pii_entities"))
+    if again is not None:
+        keyed = rows.withColumn("sign", F.xxhash64("text"))
+        places = keyed.where(F.size("found") > 0).select("sign", F.explode("found").alias("v")).distinct().select("sign", F.explode(units(F.col("v"))).alias("u")).select("sign", "u.kind", "u.canon")
+        by_text = places.join(again, ["kind", "canon"]).distinct().groupBy("sign").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "attempt"))).alias("attempts"))
+        rows, attempts = keyed.join(by_text, "sign", "left"), F.col("attempts")
+
+    def attempt_of(u: Column) -> Column:
+        return F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat(u["kind"], F.lit("|"), u["canon"])), F.lit(0))
+
+    def name(v: Column) -> Column:
+        """Lead, particles, initials and spaces stay; a word is what it is where the document first has it."""
+
+        def of(lead: Column) -> Column:
+            rest = F.substring(v, F.length(lead) + 1, F.length(v))
+            gaps = F.regexp_extract_all(rest, F.lit(r"[ \t]+"), F.lit(0))
+
+            def word(w: Column, i: Column) -> Column:
+                new = let(F.get(F.filter("people", lambda p: (p["word"] == w) | (F.upper(p["word"]) == w)), F.lit(0)), lambda u: F.when(u.isNotNull(), spelled_word(key, u, w, attempt_of(u))).otherwise(w))
+                return F.concat(new, let(gaps, lambda g: F.coalesce(F.get(g, i), F.lit(""))))
+
+            return F.concat(lead, F.array_join(F.transform(F.split(rest, r"[ \t]+"), word), ""))
+
+        return let(F.regexp_extract(v, NAME_LEAD, 0), of)
+
+    def one(v: Column) -> Column:
+        return let(kind_of(v), lambda kind: F.when(kind == "name", name(v)).otherwise(let(parts(v, kind), lambda p: spelled(key, p, attempt_of(p)))))
+
+    filled = F.when(F.size("all") == 0, F.col("text")).otherwise(let(F.transform("all", one), lambda s: F.array_join(F.transform("between", lambda x, i: F.concat(x, F.coalesce(F.get(s, i), F.lit("")))), "")))
+    return rows.select(*[(F.when(F.col("text").isNotNull(), filled) if c == text_col else F.col(f"row.c{k}")).alias(c) for k, c in enumerate(kept)], F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).alias(count_col))

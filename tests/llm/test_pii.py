@@ -1,3 +1,4 @@
+import random
 import re
 
 from kgspark.llm import pii
@@ -37,7 +38,7 @@ def test_surrogates(docs):
     assert re.search(r"password=[0-9a-f]{18} AKIA[A-Z0-9]{16}$", by[1])
     assert re.search(r'token = "[0-9a-f]{40}" Frau (\w+) [A-Z]\w+, Ms\. (\w+) ', by[2])
     names = re.search(r"Frau (\w+) \w+, Ms\. (\w+) (\w+)", by[2])
-    assert names[1] in pii.GIVEN["f"] and names[2] in pii.GIVEN_CYRILLIC["f"] and re.fullmatch("[А-Яа-я]+", names[3])
+    assert names[1].endswith(tuple(pii.ENDINGS["f"])) and names[2].endswith(tuple(pii.ENDINGS_CYRILLIC["f"])) and re.fullmatch("[А-Яа-я]+", names[3])
     assert {r.doc_id: r["__pii_entities"] for r in rows} == {0: 4, 1: 5, 2: 5, 3: 5, 4: 0, 5: 0, 6: 0, 7: 1}
 
 
@@ -61,6 +62,76 @@ def test_empty_table(docs):
     assert pii.replace(docs([]), "k").count() == 0
 
 
+def replaced(docs, texts, key="k"):
+    return [r.text for r in sorted(pii.replace(docs(texts), key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_every_mention_of_a_person_is_replaced_alike(docs):
+    out, other, plain = replaced(docs, ["Mr John Smith called. Later Smith left; John smiled. SMITH's car. Mr. Smith, John Smith. Smithers and Johnson stay.", "Mrs Mary Smith met Dr Smith.", "No Smith here, John."])
+    given, family = re.match(r"Mr (\w+) (\w+) called", out).groups()
+    assert out == f"Mr {given} {family} called. Later {family} left; {given} smiled. {family.upper()}'s car. Mr. {family}, {given} {family}. Smithers and Johnson stay."
+    assert given.endswith(tuple(pii.ENDINGS["m"])) and {given, family} & {"John", "Smith"} == set()
+    assert re.fullmatch(rf"Mrs \w+(?:{'|'.join(pii.ENDINGS['f'])}) {family} met Dr {family}\.", other)  # one family name, two persons
+    assert plain == "No Smith here, John."  # nothing in this text says that these are a person
+
+
+def test_names_without_titles(docs):
+    texts = [
+        "Reach Jane Doe at jane@x.com; Doe answers.", "My name is Zorvan Quell.", "Dear Anna, dear Customer, dear Sir. Regards,\nMohammed Al-Sayed",
+        "Author: Peter van der Berg, James F. Kent", "Meine Mutter, mein Name ist Grünwald", "Paul is here. The End. Dear all.",
+    ]
+    out = replaced(docs, texts)
+    for gone, text in (("Jane|Doe|jane", 0), ("Zorvan|Quell", 1), ("Anna|Mohammed|Sayed", 2), ("Peter|Berg|James|Kent", 3), ("Grünwald", 4)):
+        assert not re.search(gone, out[text]), out[text]
+    assert "dear Customer, dear Sir. Regards,\n" in out[2] and re.search(r" van der \w+, \w+ F\. \w+$", out[3]) and out[5] == texts[5]
+    assert re.fullmatch(r"Reach \w+ (\w+) at \w+@\w\.com; \1 answers\.", out[0])
+
+
+def test_short_names_never_run_out(docs):
+    """All 105 names of a consonant and a vowel are real, so none is free; they get longer, distinct ones."""
+    names = [c.upper() + v for c in pii.CONSONANTS for v in pii.VOWELS]
+    drawn = [t.split()[1] for t in replaced(docs, [f"Dr {n} came" for n in names])]
+    assert len(set(drawn)) == 105 and not set(drawn) & set(names)
+    secrets = [f"password: {c}*****" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    assert len(set(replaced(docs, secrets))) == 36
+    assert replaced(docs, ["password: ******** x"]) == ["password: ******** x"]  # masked already
+
+
+def test_brute_force(docs):
+    """Templates filled with entities in several spellings: the result is the template filled with one surrogate for each entity, no two alike."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    people = [(rng.choice(["Mr", "Ms"]), word(3).capitalize(), word(4).capitalize()) for _ in range(25)]
+    phones = [f"{rng.randint(200, 999)}{rng.randint(200, 999)}{rng.randint(1000, 9999)}" for _ in range(25)]
+    mails = [f"{word(2)}.{word(3)}{k}@{word(3)}.org" for k in range(25)]
+    spell = {"given": lambda k: people[k][1], "family": lambda k: people[k][2], "phone": lambda k: phones[k], "mail": lambda k: mails[k]}
+    texts, filled = [], []
+    for _ in range(60):
+        k, m = rng.sample(range(25), 2)
+        title = people[k][0]
+        template = f"{prose(rng.randrange(99), 9)} {title} {{given:{k}}} {{family:{k}}} wrote {{mail:{m}}}. Then {{family:{k}}} rang {{phone:{m}:-}}, {{phone:{k}:.}}; {{given:{k}}} and {{mail:{m}}} again."
+        filled.append(template)
+        texts.append(re.sub(r"\{(\w+):(\d+):?(.?)\}", lambda x: (lambda v, sep: f"{v[:3]}{sep}{v[3:6]}{sep}{v[6:]}" if sep else v)(spell[x[1]](int(x[2])), x[3]), template))
+    seen = {}
+    for template, text, out in zip(filled, texts, replaced(docs, texts), strict=True):
+        pattern = re.sub(r"\\\{(\w+):(\d+):?((?:\\?.)?)\\\}", lambda x: rf"(\d{{3}}{x[3]}\d{{3}}{x[3]}\d{{4}})" if x[1] == "phone" else r"(\w+\.\w+@\w+\.org)" if x[1] == "mail" else r"(\w+)", re.escape(template))
+        match = re.fullmatch(pattern, out)
+        assert match, (text, out)
+        for (kind, k), value in zip(re.findall(r"\{(\w+):(\d+)", template), match.groups(), strict=True):
+            value = re.sub(r"\D", "", value) if kind == "phone" else value
+            assert seen.setdefault((kind, int(k)), value) == value and value != spell[kind](int(k))
+    for kind in spell:
+        drawn, real = [v for (n, _), v in seen.items() if n == kind], {spell[kind](k) for k in range(25)}
+        assert len(drawn) == len(set(drawn)) and not set(drawn) & real
+
+
+def test_columns_with_any_names(spark):
+    table = spark.createDataFrame([(1, "Mr Smith", 5, 6, "found"), (2, None, 5, 6, "x")], "doc_id long, text string, __pii_found int, __pii_entities int, `row` string")
+    rows = sorted(pii.replace(table, "k").collect())
+    assert rows[0].asDict().keys() == {"doc_id", "text", "__pii_found", "row", "__pii_entities"}
+    assert [(r["__pii_found"], r["__pii_entities"], r["row"], r.text is None) for r in rows] == [(5, 1, "found", False), (5, 0, "x", True)]
+
+
 def test_collisions_are_judged_over_all_spellings(docs, monkeypatch):
     """Few letters and digits to draw: surnames stay apart under any title, numbers under any punctuation; short names run out and get longer."""
     monkeypatch.setattr(pii, "CONSONANTS", "bcd")
@@ -73,6 +144,7 @@ def test_collisions_are_judged_over_all_spellings(docs, monkeypatch):
     rows = {r.doc_id: r.text for r in pii.replace(docs(texts + [f"call {p} now" for p in phones]), "k").collect()}
     drawn = [rows[i].split()[1] for i in range(len(names))]
     assert len(set(drawn)) == len(names) and not set(drawn) & set(names)
+    assert max(map(len, drawn)) > 4 >= min(map(len, drawn))
     assert all(rows[i].split()[0] == titles[i % 7] for i in range(len(names)))
     numbers = [re.sub(r"\D", "", rows[len(names) + i]) for i in range(60)]
     assert len(set(numbers)) == 60 and not set(numbers) & {re.sub(r"\D", "", p) for p in phones}
