@@ -78,6 +78,19 @@ def filter_edges(store: GraphStore, candidates: DataFrame, knowledge_level: str
     return rows.join(wanted, (F.col("subject") == F.col("s")) & (F.col("object") == F.col("o")) & (F.col("p").isNull() | (F.col("p") == F.col("predicate"))), "left_semi")
 
 
+def predicates_of(store: GraphStore, pairs: DataFrame) -> DataFrame:
+    """subject, object, predicate of all triples between pairs of known ends (subject, object)."""
+    return store.edges.join(pairs.select("subject", "object").distinct(), ["subject", "object"], "left_semi").select("subject", "object", "predicate").distinct()
+
+
+def least_variants(edges: DataFrame) -> DataFrame:
+    """One record for each triple, as edge gives it: of the variant with the least fingerprint the last."""
+    key = ["subject", "predicate", "object"]
+    rest = [c for c in edges.columns if c not in key]
+    least = edges.groupBy(*key, "qual_fp").agg(F.max_by(F.struct(*rest), "seq").alias("v")).groupBy(*key).agg(F.min_by("v", "qual_fp").alias("v"))
+    return least.select(*key, "v.*").select(*edges.columns)
+
+
 def edges_between(store: GraphStore, subject: str, obj: str) -> DataFrame:
     return store.triples.where((F.col("subject") == subject) & (F.col("object") == obj)).select(full_column(F.col("predicate")).alias("predicate"))
 

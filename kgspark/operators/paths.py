@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.terms import bare
-from kgspark.operators.traverse import cut, descendants
+from kgspark.operators.traverse import among, cut, descendants, listed
 from kgspark.sources.store import GraphStore
 
 
@@ -16,31 +16,29 @@ def _ends(store: GraphStore, source: str, target: str, subclassing: bool) -> tup
     return tuple(store.spark.createDataFrame([(x,)], "id string") for x in (source, target))
 
 
-def _steps(store: GraphStore, relation: str | None) -> DataFrame:
-    """subject, object, and the predicate that stands for the pair."""
-    if relation is None:
-        return store.representative
-    return store.triples.where(F.col("predicate") == bare(relation))
+def all_shortest_paths(store: GraphStore, source: str, target: str, relation: str | None = None, node_subclassing: bool = False, max_depth: int | None = None) -> DataFrame:
+    """path: arrays of subject, predicate, object, all of the least length; one empty path where source and target are one.
 
-
-def all_shortest_paths(store: GraphStore, source: str, target: str, relation: str | None = None, node_subclassing: bool = False, max_depth: int = 64) -> DataFrame:
-    """path: arrays of subject, predicate, object, all of the least length; one empty path where source and target are one."""
+    A level reads only edges that start at its nodes, through a list where they are few; of a pair, the first predicate in order of arrival stands.
+    """
     shape = "array<struct<subject:string,predicate:string,object:string>>"
     if source == target:
         return store.spark.createDataFrame([([],)], f"path {shape}")
     starts, targets = _ends(store, source, target, node_subclassing)
-    steps = _steps(store, relation)
+    records = store.edges if relation is None else store.edges.where(F.col("predicate") == bare(relation))
     seen, frontier, layers = starts, starts, []
-    while len(layers) < max_depth:
-        layer = cut(frontier.withColumnRenamed("id", "subject").join(steps, "subject").join(seen.withColumnRenamed("id", "object"), "object", "left_anti").select("subject", "predicate", "object"))
+    while max_depth is None or len(layers) < max_depth:
+        few = listed(frontier)
+        rows = among(records, "subject", few) if few is not None else records.join(frontier.withColumnRenamed("id", "subject"), "subject", "left_semi")
+        rows = rows.join(seen.withColumnRenamed("id", "object"), "object", "left_anti")
+        layer = cut(rows.groupBy("subject", "object").agg(F.min_by("predicate", F.struct("seq", "predicate")).alias("predicate")).select("subject", "predicate", "object"))
         if layer.isEmpty():
             return store.spark.createDataFrame([], f"path {shape}")
         layers.append(layer)
-        frontier = layer.select(F.col("object").alias("id")).distinct()
-        hit = frontier.join(targets, "id", "left_semi")
-        if not hit.isEmpty():
+        frontier = cut(layer.select(F.col("object").alias("id")).distinct())
+        if not frontier.join(targets, "id", "left_semi").isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     else:
         return store.spark.createDataFrame([], f"path {shape}")
     edge = F.array(F.struct("subject", "predicate", "object"))

@@ -7,10 +7,10 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from kgspark.functions.terms import QUALIFIERS, full
-from kgspark.operators.metadata import record
+from kgspark.operators.metadata import least_variants, record
 from kgspark.plans.expand import Expander
 from kgspark.plans.pattern import match, validated
-from kgspark.sources.store import GraphStore, variants
+from kgspark.sources.store import GraphStore
 
 RESOURCE = "infores:kgspark"
 
@@ -40,6 +40,8 @@ def knowledge_edge(triple: tuple[str, str, str], row: dict | None) -> dict:
 
 def query(store: GraphStore, query_graph: dict, limit: int = 1000, expander: Expander | None = None, node_subclassing: bool = True, subclass_depth: int | None = 1) -> dict:
     """A message with at most `limit` results; logs say so where there are more."""
+    if limit is None:
+        raise ValueError("a message needs a limit")
     found = match(store, query_graph, limit, node_subclassing, subclass_depth, expander)
     nodes, edges = validated(query_graph)
     rows = found.bindings.collect()  # `limit` bounds it
@@ -50,8 +52,7 @@ def query(store: GraphStore, query_graph: dict, limit: int = 1000, expander: Exp
         wanted = F.broadcast(store.spark.createDataFrame([(i,) for i in ids], "id string"))
         node_rows = {r.id: r.asDict() for r in store.nodes.join(wanted, "id", "left_semi").collect()}
         asked = F.broadcast(store.spark.createDataFrame(triples, "subject string, predicate string, object string"))
-        first = variants(store.edges.join(asked, ["subject", "predicate", "object"], "left_semi")).groupBy("subject", "predicate", "object").agg(F.min("qual_fp").alias("qual_fp"))
-        best = variants(store.edges.join(asked, ["subject", "predicate", "object"], "left_semi")).join(F.broadcast(first), ["subject", "predicate", "object", "qual_fp"], "left_semi")
+        best = least_variants(store.edges.join(asked, ["subject", "predicate", "object"], "left_semi"))
         edge_rows = {(r.subject, r.predicate, r.object): r.asDict() for r in best.collect()}
     edge_ids = {t: f"e{k}" for k, t in enumerate(triples)}
     results = [

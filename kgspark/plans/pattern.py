@@ -93,12 +93,12 @@ def edge_table(store: GraphStore, e: QEdge) -> DataFrame:
     rows = store.edges
     if e.predicates:
         rows = rows.where(F.col("predicate").isin(e.predicates))
-    if e.attributes or e.qualifiers:
+    if e.qualifiers:
+        rows = rows.where(qualifier_test(e.qualifiers))  # all records of a variant have the same qualifiers, so this may come before it is chosen
+    if e.attributes:
         rows = variants(rows)  # one record must satisfy all constraints together
         for c in e.attributes:
             rows = rows.where(edge_constraint(c))
-        if e.qualifiers:
-            rows = rows.where(qualifier_test(e.qualifiers))
     rows = rows.select("subject", "predicate", "object").distinct()
     ahead = rows.select(F.col("subject").alias("from"), F.col("object").alias("to"), "subject", "predicate", "object")
     if not SYMMETRIC.intersection(e.predicates):

@@ -14,13 +14,19 @@ from kgspark.sources.store import GraphStore
 
 
 def association_report(store: GraphStore, source: str, to_category: str, max_hops: int = 2, limit: int = 5000) -> dict:
-    """Direct associations, and those over two hops whose end is not among the direct ones; rows carry names and groups."""
-    direct = associations(store, source, to_category, 1, limit).select("p0", F.col("n1").alias("end")).distinct()
-    two = None
+    """Direct associations, and those over two hops whose end is not among the direct ones; rows carry names and groups.
+
+    Repeats and direct ends go before anything is limited; truncated says whether `limit` left rows out of either list.
+    """
+    if limit is None:
+        raise ValueError("a report needs a limit")
+    direct = associations(store, source, to_category, 1, None).select("p0", F.col("n1").alias("end")).distinct()
+    direct_rows, two_rows = direct.orderBy("p0", "end").limit(limit + 1).collect(), []
     if max_hops >= 2:
-        two = associations(store, source, to_category, 2, limit).select("p0", F.col("n1").alias("mid"), "p1", F.col("n2").alias("end")).distinct().join(direct.select("end").distinct(), "end", "left_anti")
-    direct_rows = direct.orderBy("p0", "end").collect()
-    two_rows = two.orderBy("end", "mid", "p0", "p1").collect() if two is not None else []
+        two = associations(store, source, to_category, 2, None).select("p0", F.col("n1").alias("mid"), "p1", F.col("n2").alias("end")).distinct().join(direct.select("end").distinct(), "end", "left_anti")
+        two_rows = two.orderBy("end", "mid", "p0", "p1").limit(limit + 1).collect()
+    truncated = len(direct_rows) > limit or len(two_rows) > limit
+    direct_rows, two_rows = direct_rows[:limit], two_rows[:limit]
     ids = sorted({source} | {r.end for r in direct_rows} | {x for r in two_rows for x in (r.mid, r.end)})
     label = names(store, ids)
     wanted = F.broadcast(store.spark.createDataFrame([(i,) for i in ids], "id string"))
@@ -28,6 +34,7 @@ def association_report(store: GraphStore, source: str, to_category: str, max_hop
     return {
         "source": {"id": source, "name": label[source]},
         "category": full(to_category),
+        "truncated": truncated,
         "direct": [{"predicate": full(r.p0), "id": r.end, "name": label[r.end], "group": group[r.end]} for r in direct_rows],
         "two_hop": [{"id": r.end, "name": label[r.end], "group": group[r.end], "by": r.mid, "by_name": label[r.mid], "predicates": [full(r.p0), full(r.p1)]} for r in two_rows],
     }
@@ -49,7 +56,7 @@ def association_html(report: dict) -> str:
 
 
 def association_text(report: dict) -> str:
-    head = f"{report['source']['name']} ({report['source']['id']}): {len(report['direct'])} direct, {len(report['two_hop'])} over two hops"
+    head = f"{report['source']['name']} ({report['source']['id']}): {len(report['direct'])} direct, {len(report['two_hop'])} over two hops" + (", and more" if report["truncated"] else "")
     return "\n".join([head, *(f"  {r['predicate']} {r['name']} ({r['id']})" for r in report["direct"])])
 
 

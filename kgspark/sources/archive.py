@@ -6,7 +6,9 @@ import json
 import os
 import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -16,11 +18,19 @@ SUFFIXES = (".tar.zst", ".tar.gz", ".tgz", ".tar")
 MEMBERS = {"nodes.jsonl": "node", "edges.jsonl": "edge", "graph-metadata.json": "graph_metadata"}
 
 
+def opened(path: str) -> BinaryIO:
+    """A local path or a URI (file, hdfs, s3, gs ...), read as a stream."""
+    if "://" not in path:
+        return open(path, "rb")
+    fs, at = FileSystem.from_uri(path)
+    return fs.open_input_stream(at, compression=None)
+
+
 def lines(path: str) -> Iterator[tuple[str, int, str]]:
     """(kind, line number, JSON) of an archive's members, found by their base names; blank lines are left out."""
     if not path.endswith(SUFFIXES):
         raise ValueError(f"{path}: an archive ends in one of {', '.join(SUFFIXES)}")
-    with open(path, "rb") as f:
+    with opened(path) as f:
         if path.endswith(".zst"):
             import zstandard
 

@@ -13,7 +13,8 @@ from kgspark.functions.terms import bare, bare_column, qualifier_fingerprint
 
 NODE = "id string, name string, category array<string>, extra string"
 EDGE = "seq long, subject string, predicate string, object string, knowledge_level string, agent_type string, qualifiers map<string,string>, extra string"
-FORMAT_VERSION = 2
+EDGE_COLUMNS = (*(c.split()[0] for c in EDGE.split(", ")), "qual_fp")
+FORMAT_VERSION = 3
 
 
 @dataclass
@@ -52,11 +53,10 @@ class GraphStore:
         """The first predicate in order of arrival for each pair of ends (by name where nothing orders them)."""
         return self.edges.groupBy("subject", "object").agg(F.min_by("predicate", F.struct("seq", "predicate")).alias("predicate"))
 
-    def save(self, path: str, partitions: bool = True) -> None:
-        """Edges by predicate, so a filter on it prunes folders, and the manifest beside them."""
+    def save(self, path: str) -> None:
+        """Edges in folders by predicate and batch, in files sorted by subject, so filters on either skip what they do not need; the manifest beside them."""
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        writer = self.edges.write.mode("overwrite")
-        (writer.partitionBy("predicate") if partitions else writer).parquet(f"{path}/edges")
+        save_edges(self.edges, path, 0)
         text = json.dumps(self.manifest | {"store_format_version": FORMAT_VERSION})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -65,7 +65,13 @@ class GraphStore:
         manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
         if manifest.get("store_format_version") != FORMAT_VERSION:
             raise ValueError(f"store format {manifest.get('store_format_version')} is not {FORMAT_VERSION}")
-        return GraphStore(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), manifest)
+        return GraphStore(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS), manifest)
+
+
+def save_edges(edges: DataFrame, path: str, batch: int) -> None:
+    """Writes or replaces one batch of a saved graph's edges; number 0 is the graph as it was saved and takes the place of all others."""
+    rows = edges.withColumn("batch", F.lit(batch).cast("long")).repartitionByRange("predicate", "subject").sortWithinPartitions("predicate", "subject")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if batch else "static").partitionBy("predicate", "batch").parquet(f"{path}/edges")
 
 
 def from_triples(spark: SparkSession, triples: list[tuple[str, str, str]], nodes: list[tuple] = ()) -> GraphStore:

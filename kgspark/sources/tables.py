@@ -17,15 +17,16 @@ def _nodes(t: DataFrame, prefix: str, key: str, name: str | None, category: str)
     return t.select(curie(prefix, key).alias("id"), (F.col(name) if name else F.lit(None)).cast("string").alias("name"), F.array(F.lit(category)).alias("category"), F.lit(None).cast("string").alias("extra"))
 
 
-def _edges(t: DataFrame, subject: Column, predicate: str, obj: Column, level: Column | str | None = None, agent: Column | str | None = None, qualifiers: Column | None = None) -> DataFrame:
+def _edges(t: DataFrame, subject: Column, predicate: str, obj: Column, level: Column | str | None = None, agent: Column | str | None = None, qualifiers: Column | None = None, extra: Column | None = None) -> DataFrame:
     text = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("string")
     none = F.lit(None).cast("map<string,string>")
-    return t.select(F.lit(0).cast("long").alias("seq"), subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object"), text(level).alias("knowledge_level"), text(agent).alias("agent_type"), (none if qualifiers is None else qualifiers).alias("qualifiers"), F.lit(None).cast("string").alias("extra"))
+    return t.select(F.lit(0).cast("long").alias("seq"), subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object"), text(level).alias("knowledge_level"), text(agent).alias("agent_type"), (none if qualifiers is None else qualifiers).alias("qualifiers"), (F.lit(None).cast("string") if extra is None else extra).alias("extra"))
 
 
 def graph(spark: SparkSession, sf_dir: str, island: bool = False) -> GraphStore:
     """Regions, nations, customers, suppliers, parts, orders, brands and part types; with island, users and event types too.
 
+    Some nations regulate and derive from each other, and some are part of themselves, so that audits find something.
     Rows have no order of arrival, so seq is 0 and a pair's first predicate is the first by name.
     """
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
@@ -42,12 +43,15 @@ def graph(spark: SparkSession, sf_dir: str, island: bool = False) -> GraphStore:
         _edges(t["nation"], curie("NATION", "n_nationkey"), "subclass_of", curie("REGION", "n_regionkey")),
         _edges(t["part"], curie("PART", "p_partkey"), "subclass_of", curie("PTYPE", "p_type")),
         _edges(t["customer"], curie("CUST", "c_custkey"), "located_in", curie("NATION", "c_nationkey"), "assertion", F.col("c_mktsegment")),
-        _edges(t["supplier"], curie("SUPP", "s_suppkey"), "located_in", curie("NATION", "s_nationkey"), "assertion", "manual"),
+        _edges(t["supplier"], curie("SUPP", "s_suppkey"), "located_in", curie("NATION", "s_nationkey"), "assertion", "manual", extra=F.to_json(F.struct(F.col("s_acctbal").alias("balance")))),
         _edges(t["orders"], curie("CUST", "o_custkey"), "places", curie("ORDER", "o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")),
         _edges(t["lineitem"], curie("ORDER", "l_orderkey"), "contains", curie("PART", "l_partkey"), F.col("l_returnflag"), F.col("l_linestatus")),
         _edges(t["lineitem"], curie("SUPP", "l_suppkey"), "affects", curie("PART", "l_partkey"), "observation", "automated", qualifiers),
         _edges(t["part"], curie("PART", "p_partkey"), "has_brand", curie("BRAND", "p_brand"), "assertion", "manual"),
         _edges(near, curie("NATION", "a"), "interacts_with", curie("NATION", "b"), "prediction", "computed"),
+        *(_edges(near.where("(a + b) % 2 = 0"), curie("NATION", x), "regulates", curie("NATION", y)) for x, y in ("ab", "ba")),
+        *(_edges(near.where("(a * b) % 3 = 0"), curie("NATION", x), "derives_from", curie("NATION", y)) for x, y in ("ab", "ba")),
+        _edges(t["nation"].where("n_nationkey % 5 = 0"), curie("NATION", "n_nationkey"), "part_of", curie("NATION", "n_nationkey")),
     ]
     if island:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -84,7 +88,12 @@ e AS (
   UNION ALL SELECT 'SUPP:' || CAST(l_suppkey AS VARCHAR), 'affects', 'PART:' || CAST(l_partkey AS VARCHAR), 'observation', 'automated', l_returnflag, l_linestatus FROM lineitem
   UNION ALL SELECT 'PART:' || CAST(p_partkey AS VARCHAR), 'has_brand', 'BRAND:' || p_brand, 'assertion', 'manual', NULL, NULL FROM part
   UNION ALL SELECT 'NATION:' || CAST(a.n_nationkey AS VARCHAR), 'interacts_with', 'NATION:' || CAST(b.n_nationkey AS VARCHAR), 'prediction', 'computed', NULL, NULL
-    FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
+    FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
+  UNION ALL SELECT 'NATION:' || CAST(a.n_nationkey AS VARCHAR), 'regulates', 'NATION:' || CAST(b.n_nationkey AS VARCHAR), NULL, NULL, NULL, NULL
+    FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey AND (a.n_nationkey + b.n_nationkey) % 2 = 0
+  UNION ALL SELECT 'NATION:' || CAST(a.n_nationkey AS VARCHAR), 'derives_from', 'NATION:' || CAST(b.n_nationkey AS VARCHAR), NULL, NULL, NULL, NULL
+    FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey AND (a.n_nationkey * b.n_nationkey) % 3 = 0
+  UNION ALL SELECT 'NATION:' || CAST(n_nationkey AS VARCHAR), 'part_of', 'NATION:' || CAST(n_nationkey AS VARCHAR), NULL, NULL, NULL, NULL FROM nation WHERE n_nationkey % 5 = 0),
 t AS (SELECT DISTINCT subject, predicate, object FROM e)"""
 #: With the events: users and event types form an island.
 ISLAND_SQL = SQL.replace(

@@ -82,59 +82,68 @@ def test_expander():
 
 
 def test_messages(synthetic, hierarchy):
-    asked = graph({"a": {"ids": ["DRUG:1"]}, "b": {"categories": ["biolink:Gene"]}}, e=("a", ["biolink:affects"], "b"))
+    asked = graph({"a": {"ids": ["RIVER:1"]}, "b": {"categories": ["biolink:Lake"]}}, e=("a", ["biolink:feeds"], "b"))
     message = query(synthetic, asked)["message"]
-    assert [r["node_bindings"]["b"][0]["id"] for r in message["results"]] == ["GENE:1", "GENE:2"] and "logs" not in message
-    assert message["knowledge_graph"]["nodes"]["DRUG:1"]["attributes"] == [{"attribute_type_id": "biolink:score", "value": "150"}]
+    assert [r["node_bindings"]["b"][0]["id"] for r in message["results"]] == ["LAKE:1", "LAKE:2"] and "logs" not in message
+    assert message["knowledge_graph"]["nodes"]["RIVER:1"]["attributes"] == [{"attribute_type_id": "biolink:length", "value": "288"}]
     edge = message["knowledge_graph"]["edges"][message["results"][0]["analyses"][0]["edge_bindings"]["e"][0]["id"]]
-    assert edge["predicate"] == "biolink:affects" and edge["attributes"][0] == {"attribute_type_id": "biolink:knowledge_level", "value": "observation"}
+    assert edge["predicate"] == "biolink:feeds" and edge["attributes"][0] == {"attribute_type_id": "biolink:knowledge_level", "value": "measured"}
     assert query(synthetic, asked, limit=1)["message"]["logs"][0]["code"] == "ResultsTruncated"
     below = query(hierarchy, graph({"a": {}, "b": {"ids": ["ROOT:1"]}}, e=("a", ["treats"], "b")))["message"]
     assert [r["node_bindings"]["b"][0].get("query_id") for r in below["results"]] == ["ROOT:1", None]
-    assert drawing(asked) == "(a DRUG:1) --biolink:affects--> (b biolink:Gene)"
+    assert drawing(asked) == "(a RIVER:1) --biolink:feeds--> (b biolink:Lake)"
 
 
 def test_patterns(synthetic):
-    asked, variables = dsl.to_query_graph([["DRUG:1", "affects", "?g:Gene"], ["?g", {"predicate": "causes"}, "biolink:Disease"]])
-    assert asked["nodes"] == {"n0": {"ids": ["DRUG:1"]}, "n1": {"categories": ["biolink:Gene"]}, "n2": {"categories": ["biolink:Disease"]}} and variables == {"g": "n1"}
-    assert dsl.run(synthetic, [["DRUG:1", "affects", "?g"], ["?g", "*", "?d"]], name_lookup=True)["rows"] == [{"g": "GENE:1", "d": "DIS:1", "g_name": "FREM1", "d_name": "Headache"}]
-    got = dsl.run(synthetic, [["Aspirin", "affects", "?g"]], limit=1, resolver=lambda t: resolve_one(synthetic, t))
-    assert got == {"rows": [{"g": "GENE:1"}], "truncated": True, "enumeration_truncated": False}
-    assert dsl.run(synthetic, [["DRUG:1", "affects", "?g"]], enumerate_limit=1)["enumeration_truncated"]
+    asked, variables = dsl.to_query_graph([["RIVER:1", "feeds", "?g:Lake"], ["?g", {"predicate": "supplies"}, "biolink:Town"]])
+    assert asked["nodes"] == {"n0": {"ids": ["RIVER:1"]}, "n1": {"categories": ["biolink:Lake"]}, "n2": {"categories": ["biolink:Town"]}} and variables == {"g": "n1"}
+    assert dsl.run(synthetic, [["RIVER:1", "feeds", "?g"], ["?g", "*", "?d"]], name_lookup=True)["rows"] == [{"g": "LAKE:1", "d": "TOWN:1", "g_name": "Thun", "d_name": "Bern"}]
+    got = dsl.run(synthetic, [["Aare", "feeds", "?g"]], limit=1, resolver=lambda t: resolve_one(synthetic, t))
+    assert got == {"rows": [{"g": "LAKE:1"}], "truncated": True, "enumeration_truncated": False}
+    assert dsl.run(synthetic, [["RIVER:1", "feeds", "?g"]], enumerate_limit=1)["enumeration_truncated"]
     for wrong, text in (([], "one or more"), ([["A:1", "p"]], "triple 0"), ([["A:1", "p", "?"]], "needs a name"), ([["A:1", "p", "B:1"], ["name", "p", "B:1"]], "triple 1"), ([["A:1", {"colour": 1}, "B:1"]], "colour"), ([["A:1", 5, "B:1"]], "an edge is"), ([[5, "p", "B:1"]], "a node is")):
         with pytest.raises(dsl.PatternError, match=text):
             dsl.to_query_graph(wrong)
     with pytest.raises(dsl.PatternError, match="pin one"):
         dsl.run(synthetic, [["?a", "p", "?b"]])
-    assert dsl.query_terms(asked) == (["biolink:affects", "biolink:causes"], [])
+    assert dsl.query_terms(asked) == (["biolink:feeds", "biolink:supplies"], [])
 
 
 def test_names(synthetic):
-    assert [c["id"] for c in resolve(synthetic, "frem1")] == ["GENE:1", "GENE:2"] and resolve(synthetic, "frem1", "Disease") == []
+    assert [c["id"] for c in resolve(synthetic, "thun")] == ["LAKE:1", "LAKE:2"] and resolve(synthetic, "thun", "Town") == []
     with pytest.raises(ValueError):
         resolve_one(synthetic, "nothing")
-    assert names(synthetic, ["GENE:1", "X:1"]) == {"GENE:1": "FREM1", "X:1": "X:1"}
+    assert names(synthetic, ["LAKE:1", "X:1"]) == {"LAKE:1": "Thun", "X:1": "X:1"}
     assert path_text([("A", "p", "B"), ("C", "q", "B")]) == "A -[p]-> B <-[q]- C"
 
 
 def test_reports(synthetic, hierarchy):
-    report = association_report(synthetic, "DRUG:1", "Disease")
-    assert report["direct"] == [] and report["two_hop"][0]["by_name"] == "FREM1" and report["two_hop"][0]["group"] == "disease"
-    assert "Headache" in association_html(report) and association_text(report).startswith("Aspirin")
+    report = association_report(synthetic, "RIVER:1", "Town")
+    assert report["direct"] == [] and report["two_hop"][0]["by_name"] == "Thun" and report["two_hop"][0]["group"] == "other"
+    assert "Bern" in association_html(report) and association_text(report).startswith("Aare")
     audit = audit_report(hierarchy)
     assert audit[0]["predicate"] == "subclass_of" and audit[0]["examples"] == [["LOOP:1", "ROOT:1"]] and "LOOP:1" in audit_html(audit)
 
 
+def test_reports_remove_repeats_before_they_limit(spark):
+    """Of a hub with two predicates to each end, `limit` counts ends that are listed, says that there are more, and a direct end is none over two hops."""
+    edges = [("S:1", p, f"T:{i}") for i in range(6) for p in ("p", "q")] + [("S:1", "p", "M:1")] + [("M:1", "p", f"T:{i}") for i in range(9)]
+    store = from_triples(spark, edges, [(f"T:{i}", None, ["Town"]) for i in range(9)])
+    whole, some = association_report(store, "S:1", "Town"), association_report(store, "S:1", "Town", limit=4)
+    assert len(whole["direct"]) == 12 and [r["id"] for r in whole["two_hop"]] == ["T:6", "T:7", "T:8"] and not whole["truncated"]
+    assert len(some["direct"]) == 4 and [r["id"] for r in some["two_hop"]] == ["T:6", "T:7", "T:8"] and some["truncated"]
+
+
 def test_service(synthetic):
-    good = {"message": {"query_graph": graph({"a": {"ids": ["DRUG:1"]}, "b": {}}, e=("a", [], "b"))}}
-    assert service.handle(synthetic, good)[0] == 200 and "Aspirin" in service.handle(synthetic, good, summary=True)[1]
+    good = {"message": {"query_graph": graph({"a": {"ids": ["RIVER:1"]}, "b": {}}, e=("a", [], "b"))}}
+    assert service.handle(synthetic, good)[0] == 200 and "Aare" in service.handle(synthetic, good, summary=True)[1]
     for bad in (None, [], {}, {"message": {"query_graph": {"nodes": {}}}}, good | {"limit": "many"}):
         assert service.handle(synthetic, bad)[0] == 400
     assert service.handle(None, good)[0] == 503 and service.health(synthetic)[0] == 200 and service.clamped(10**9) == 10_000
-    assert service.meta(synthetic)["predicates"] == {"biolink:affects": 2, "biolink:causes": 1}
-    assert service.connect_entities(synthetic, "Aspirin", "Headache")["paths"] == ["DRUG:1 -[affects]-> GENE:1 -[causes]-> DIS:1"]
-    assert "error" in service.find_associations(synthetic, "DRUG:1", "Disease", 9) and "error" in service.list_neighbors(synthetic, "NONE:1")
-    assert service.find_associations(synthetic, "DRUG:1", "Disease", 2)["associations"] == ["Aspirin -[biolink:affects]-> FREM1 -[biolink:causes]-> Headache"]
-    assert service.list_neighbors(synthetic, "DRUG:1", category="Gene")["neighbors"] == {"GENE:1": "FREM1", "GENE:2": "FREM1 related, extra"}
-    assert service.graph_query(synthetic, [["Aspirin", "affects", "?g"]])["rows"][0]["g_name"] == "FREM1"
-    assert service.graph_info(synthetic)["triples"] == 3 and "biolink:Gene" in service.describe_schema(synthetic)["categories"] and service.resolve_entity(synthetic, "aspirin")["candidates"]
+    assert service.meta(synthetic)["predicates"] == {"biolink:feeds": 2, "biolink:lies_on": 1, "biolink:supplies": 1}
+    assert service.connect_entities(synthetic, "Aare", "Bern")["paths"] == ["RIVER:1 -[feeds]-> LAKE:1 -[supplies]-> TOWN:1"]
+    assert "error" in service.find_associations(synthetic, "RIVER:1", "Town", 9) and "error" in service.list_neighbors(synthetic, "NONE:1")
+    assert service.find_associations(synthetic, "RIVER:1", "Town", 2)["associations"] == ["Aare -[biolink:feeds]-> Thun -[biolink:supplies]-> Bern"]
+    assert service.list_neighbors(synthetic, "RIVER:1", category="Lake")["neighbors"] == {"LAKE:1": "Thun", "LAKE:2": "Thun shore, upper"}
+    assert service.graph_query(synthetic, [["Aare", "feeds", "?g"]])["rows"][0]["g_name"] == "Thun"
+    assert service.graph_info(synthetic)["triples"] == 4 and "biolink:Lake" in service.describe_schema(synthetic)["categories"] and service.resolve_entity(synthetic, "aare")["candidates"]

@@ -54,7 +54,7 @@ def test_archive_filters_and_errors(spark, tmp_path):
 def test_save_and_load(spark, tmp_path, synthetic):
     synthetic.save(f"{tmp_path}/s")
     back = GraphStore.load(spark, f"{tmp_path}/s")
-    assert sorted(back.triples.collect()) == sorted(synthetic.triples.collect()) and back.nodes.count() == 4
+    assert sorted(back.triples.collect()) == sorted(synthetic.triples.collect()) and back.nodes.count() == 5
     plan = back.edges.where("predicate = 'causes'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(predicate" in plan
     spark.createDataFrame([('{"store_format_version": 1}',)], "value string").write.mode("overwrite").text(f"{tmp_path}/s/manifest")
@@ -76,23 +76,23 @@ def test_release(spark, tmp_path):
 
 
 def test_lookups(spark, synthetic, qualified):
-    assert m.node(synthetic, "GENE:2") == {"id": "GENE:2", "name": "FREM1 related, extra", "category": ["biolink:Gene", "biolink:Protein"]}
+    assert m.node(synthetic, "LAKE:2") == {"id": "LAKE:2", "name": "Thun shore, upper", "category": ["biolink:Lake", "biolink:Basin"]}
     assert m.node(synthetic, "NONE:1") == {} and m.edge(synthetic, "A", "b", "C") == {}
-    assert m.edge(synthetic, "GENE:1", "causes", "DIS:1")["negated"] == "true"
+    assert m.edge(synthetic, "LAKE:1", "supplies", "TOWN:1")["seasonal"] == "true"
     found = m.edge_variants(qualified, "A:1", "biolink:affects", "B:1")
     assert {v["object_direction_qualifier"] for v in found} == {"increased", "decreased"} and m.edge(qualified, "A:1", "affects", "B:1") == found[0]
-    ids = spark.createDataFrame([("GENE:1",), ("GENE:2",), ("DRUG:1",), ("NONE:1",)], "id string")
+    ids = spark.createDataFrame([("LAKE:1",), ("LAKE:2",), ("RIVER:1",), ("NONE:1",)], "id string")
     get = lambda df: {r.id for r in df.collect()}
-    assert get(m.filter_nodes(synthetic, ids, "biolink:Gene")) == {"GENE:1", "GENE:2"}
-    assert get(m.filter_nodes(synthetic, ids, extra_filters={"score": 150})) == {"DRUG:1"}
-    assert get(m.filter_nodes(synthetic, ids, extra_filters={"score": None})) == {"GENE:1", "GENE:2"}
-    assert get(m.nodes_by_category(synthetic, "Gene", 1)) == {"GENE:1"}
-    asked = spark.createDataFrame([("DRUG:1", None, "GENE:1"), ("GENE:1", "causes", "DIS:1"), ("GENE:1", "affects", "DIS:1")], "subject string, predicate string, object string")
-    assert {r.object for r in m.filter_edges(synthetic, asked).collect()} == {"GENE:1", "DIS:1"}
-    assert m.filter_edges(synthetic, asked, agent_type="computed").count() == 0
-    assert {r.object for r in m.filter_edges(synthetic, asked, extra_filters={"negated": True}).collect()} == {"DIS:1"}
-    assert m.has_edge(synthetic, "DRUG:1", "GENE:1") and not m.has_edge(synthetic, "DRUG:1", "GENE:1", "causes") and not m.has_edge(synthetic, "X", "Y")
-    assert [r.predicate for r in m.edges_between(synthetic, "GENE:1", "DIS:1").collect()] == ["biolink:causes"]
+    assert get(m.filter_nodes(synthetic, ids, "biolink:Lake")) == {"LAKE:1", "LAKE:2"}
+    assert get(m.filter_nodes(synthetic, ids, extra_filters={"length": 288})) == {"RIVER:1"}
+    assert get(m.filter_nodes(synthetic, ids, extra_filters={"length": None})) == {"LAKE:1", "LAKE:2"}
+    assert get(m.nodes_by_category(synthetic, "Lake", 1)) == {"LAKE:1"}
+    asked = spark.createDataFrame([("RIVER:1", None, "LAKE:1"), ("LAKE:1", "supplies", "TOWN:1"), ("LAKE:1", "feeds", "TOWN:1")], "subject string, predicate string, object string")
+    assert {r.object for r in m.filter_edges(synthetic, asked).collect()} == {"LAKE:1", "TOWN:1"}
+    assert m.filter_edges(synthetic, asked, agent_type="model").count() == 0
+    assert {r.object for r in m.filter_edges(synthetic, asked, extra_filters={"seasonal": True}).collect()} == {"TOWN:1"}
+    assert m.has_edge(synthetic, "RIVER:1", "LAKE:1") and not m.has_edge(synthetic, "RIVER:1", "LAKE:1", "supplies") and not m.has_edge(synthetic, "X", "Y")
+    assert [r.predicate for r in m.edges_between(synthetic, "LAKE:1", "TOWN:1").collect()] == ["biolink:supplies"]
 
 
 def test_fingerprints(qualified):

@@ -1,18 +1,23 @@
 import json
 
-from kgspark.sources.store import GraphStore
+from kgspark.sources.store import GraphStore, save_edges
 from kgspark.streaming import ingest
 
 
-def test_append(spark, tmp_path):
-    source = tmp_path / "in"
+def test_append_to_a_saved_graph(spark, tmp_path, synthetic):
+    """Batches stand beside the saved edges in one layout; one that is run again takes its own place."""
+    source, saved = tmp_path / "in", f"{tmp_path}/graph"
     source.mkdir()
+    synthetic.save(saved)
     for k in range(2):
-        (source / f"{k}.jsonl").write_text("\n".join(json.dumps({"subject": f"A:{k}{i}", "predicate": "biolink:p", "object": "B:1"}) for i in range(3)))
-        ingest.append_edges(spark, str(source), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    edges = spark.read.parquet(f"{tmp_path}/out/edges")
-    assert edges.count() == 6 and {r.predicate for r in edges.collect()} == {"p"}
-    assert GraphStore(spark.createDataFrame([], "id string, name string, category array<string>, extra string"), edges).triples.count() == 6
+        (source / f"{k}.jsonl").write_text("\n".join(json.dumps({"subject": f"A:{k}{i}", "predicate": p, "object": "B:1"}) for i, p in enumerate(["biolink:feeds", "biolink:feeds", "biolink:crosses"])))
+        ingest.append_edges(spark, str(source), saved, f"{tmp_path}/check").awaitTermination()
+    store = GraphStore.load(spark, saved)
+    assert {r.predicate: r["count"] for r in store.edges.groupBy("predicate").count().collect()} == {"feeds": 6, "supplies": 1, "lies_on": 1, "crosses": 2}
+    save_edges(store.edges.where("subject LIKE 'A:1%'"), saved, 2)
+    again = GraphStore.load(spark, saved)
+    assert again.triples.count() == 10 and again.edges.count() == 10 and again.edges.columns == synthetic.edges.columns
+    assert again.nodes.count() == 5
 
 
 def test_windowed_counts(spark, tmp_path):

@@ -12,7 +12,7 @@ def ids(df, c="id"):
 
 
 def test_neighbors(hierarchy, synthetic):
-    assert ids(traverse.neighbors(synthetic, "DRUG:1")) == ["GENE:1", "GENE:2"] and ids(traverse.neighbors(synthetic, "DRUG:1", "biolink:none")) == []
+    assert ids(traverse.neighbors(synthetic, "RIVER:1")) == ["LAKE:1", "LAKE:2"] and ids(traverse.neighbors(synthetic, "RIVER:1", "biolink:none")) == []
     with pytest.raises(ValueError):
         traverse.neighbors(synthetic, "NONE:1")
     assert ids(traverse.neighbors(hierarchy, "MID:1", node_subclassing=True)) == ["MID:1", "ROOT:1"]
@@ -24,20 +24,20 @@ def test_descendants_end_in_cycles(hierarchy):
 
 
 def test_patterns(synthetic, hierarchy):
-    two = traverse.match_path(synthetic, ["DRUG:1", None, {"category": "Gene"}, None, {"category": "biolink:Disease"}])
-    assert [(r.n1, r.n2) for r in two.collect()] == [("GENE:1", "DIS:1")]
-    assert traverse.match_path(synthetic, ["DRUG:1", {"agent_type": "computed"}, None]).first().n1 == "GENE:2"
-    back = traverse.match_path(synthetic, ["DIS:1", "causes", None, "affects", None], hop_directions=[False, False]).first()
-    assert (back.n2, back.s1, back.o1) == ("DRUG:1", "DRUG:1", "GENE:1")
-    for wrong in ([], ["DRUG:1"], ["DRUG:1", None]):
+    two = traverse.match_path(synthetic, ["RIVER:1", None, {"category": "Lake"}, None, {"category": "biolink:Town"}])
+    assert [(r.n1, r.n2) for r in two.collect()] == [("LAKE:1", "TOWN:1")]
+    assert traverse.match_path(synthetic, ["RIVER:1", {"agent_type": "model"}, None]).first().n1 == "LAKE:2"
+    back = traverse.match_path(synthetic, ["TOWN:1", "supplies", None, "feeds", None], hop_directions=[False, False]).first()
+    assert (back.n2, back.s1, back.o1) == ("RIVER:1", "RIVER:1", "LAKE:1")
+    for wrong in ([], ["RIVER:1"], ["RIVER:1", None]):
         with pytest.raises(ValueError):
             traverse.match_path(synthetic, wrong)
     with pytest.raises(ValueError):
-        traverse.match_path(synthetic, ["DRUG:1", None, None], hop_directions=[True, True])
+        traverse.match_path(synthetic, ["RIVER:1", None, None], hop_directions=[True, True])
     assert ids(traverse.match_path(hierarchy, [None, "treats", "ROOT:1"], node_subclassing=True, subclass_depth=1), "n0") == ["D:2", "D:3"]
-    assert len(traverse.associations(synthetic, "DRUG:1", "Disease", 2).collect()) == 1
+    assert len(traverse.associations(synthetic, "RIVER:1", "Town", 2).collect()) == 1
     with pytest.raises(ValueError):
-        traverse.associations(synthetic, "DRUG:1", "Disease", 0)
+        traverse.associations(synthetic, "RIVER:1", "Town", 0)
 
 
 def test_symmetric_hops(spark):
@@ -67,6 +67,30 @@ def test_pruning_changes_nothing(spark):
     assert rows[0] == rows[1] and rows[0]
 
 
+def test_hop_caps_name_the_hops_that_were_cut(spark):
+    store = from_triples(spark, [("S:1", "p", f"T:{i}") for i in range(8)] + [(f"T:{i}", "q", f"U:{i}") for i in range(8)])
+    stats = traverse.MatchStats()
+    rows = traverse.match_path(store, ["S:1", "p", None, "q", None], limit=None, hop_cap=3, stats=stats).collect()
+    assert sorted(r.n2 for r in rows) == ["U:0", "U:1", "U:2"] and stats.truncated and stats.truncated_hops == [0] and stats.hop_caps == [3]
+
+
+def test_places_are_listed_from_pinned_ends(spark, monkeypatch):
+    """With lists that are long enough, with ones that are not, and without: the same walks."""
+    rng = random.Random(8)
+    store = from_triples(spark, sorted({(f"N:{rng.randrange(15)}", rng.choice(["p", "q", "interacts_with"]), f"N:{rng.randrange(15)}") for _ in range(70)}), [(f"N:{i}", None, ["Even" if i % 2 == 0 else "Odd"]) for i in range(15)])
+    specs = [["N:1", "p", None, "q", None], [None, None, {"category": "Even"}, None, "N:2"], [["N:1", "N:2"], None, {"category": "Odd"}, "p", None, None, "N:3"], [{"category": "Odd"}, "p", None, "q", None]]
+    some = 0
+    for spec in specs:
+        for symmetric in (False, True):
+            want = sorted(traverse.match_path(store, spec, None, prune=False, symmetric=symmetric).collect())
+            some += bool(want)
+            for longest, literals in ((10_000, 200), (10_000, 1), (3, 2)):
+                monkeypatch.setattr(traverse, "FRONTIER", longest)
+                monkeypatch.setattr(traverse, "LITERALS", literals)
+                assert sorted(traverse.match_path(store, spec, None, symmetric=symmetric).collect()) == want
+    assert some >= 6
+
+
 @pytest.fixture(scope="module")
 def random_graph(spark):
     rng = random.Random(4)
