@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import json
+import tarfile
+import uuid
 from collections.abc import Callable
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.functions.terms import attribute_test, full_column, name_class
+from kgspark import service
+from kgspark.functions.terms import full_column, is_curie, name_class
 from kgspark.operators import aggregates, metadata, paths, traverse
-from kgspark.plans import pattern, resolve
-from kgspark.sources import tables
-from kgspark.sources.store import GraphStore, variants
+from kgspark.plans import dsl, message, pattern, report, resolve
+from kgspark.sources import archive, tables
+from kgspark.sources.folders import shared_dir
+from kgspark.sources.store import GraphStore, from_triples, variants
+from kgspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,11 +104,9 @@ def _(g):
 TRIANGLE_NODES = {"a": {"categories": ["Nation"]}, "b": {"categories": ["Nation"]}, "c": {"categories": ["Nation"]}}
 
 
-@on_graph("shape08_triangle", "SELECT x.subject AS a, x.object AS b, y.object AS c FROM t x JOIN t y ON y.subject = x.object AND y.predicate = 'interacts_with' JOIN t z ON z.subject = x.subject AND z.object = y.object AND z.predicate = 'interacts_with' WHERE x.predicate = 'interacts_with'")
+@on_graph("shape08_triangle", "SELECT x.subject AS a, x.object AS b, y.object AS c FROM t x JOIN t y ON y.subject = x.object AND y.predicate = 'regulates' JOIN t z ON z.subject = x.subject AND z.object = y.object AND z.predicate = 'regulates' WHERE x.predicate = 'regulates'")
 def _(g):
-    edges = traverse.hop(g, "interacts_with").select("here", "there")
-    ab, bc, ac = (edges.toDF(*c) for c in ("ab", "bc", "ac"))
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
+    return bound(g, qgraph(TRIANGLE_NODES, e=("a", ["regulates"], "b"), f=("b", ["regulates"], "c"), h=("a", ["regulates"], "c")), ["n_a", "n_b", "n_c"]).toDF("a", "b", "c")
 
 
 @on_graph(
@@ -166,7 +172,8 @@ def _(g):
 
 @on_graph("F1_node", "SELECT id, name, 'biolink:' || category AS category FROM n WHERE id = 'NATION:3'")
 def _(g):
-    return g.nodes.where("id = 'NATION:3'").select("id", "name", F.explode("category").alias("c")).select("id", "name", full_column(F.col("c")).alias("category"))
+    found = metadata.node(g, "NATION:3")
+    return g.spark.createDataFrame([(found["id"], found["name"], c) for c in found["category"]], "id string, name string, category string")
 
 
 @on_graph("F3_edge_variants", "SELECT DISTINCT subject, predicate, object, direction, aspect FROM e WHERE subject = 'SUPP:1' AND predicate = 'affects'")
@@ -174,9 +181,19 @@ def _(g):
     return variants(g.edges.where("subject = 'SUPP:1' AND predicate = 'affects'")).select("subject", "predicate", "object", F.col("qualifiers")["object_direction_qualifier"].alias("direction"), F.col("qualifiers")["object_aspect_qualifier"].alias("aspect"))
 
 
-@on_graph("F2_least_variant", "SELECT subject, object, count(DISTINCT direction || aspect) AS n FROM e WHERE predicate = 'affects' GROUP BY subject, object HAVING count(DISTINCT direction || aspect) > 1")
+FINGERPRINT = """substr(sha1('{"object_aspect_qualifier":"' || aspect || '","object_direction_qualifier":"' || direction || '"}'), 1, 10)"""
+
+
+@on_graph("F2_least_variant", f"SELECT subject, object, min_by(direction, {FINGERPRINT}) AS direction, min_by(aspect, {FINGERPRINT}) AS aspect FROM e WHERE predicate = 'affects' GROUP BY subject, object")
+def _(g):
+    return metadata.least_variants(g.edges.where("predicate = 'affects'")).select("subject", "object", F.col("qualifiers")["object_direction_qualifier"].alias("direction"), F.col("qualifiers")["object_aspect_qualifier"].alias("aspect"))
+
+
+@on_graph("F2_edge", f"SELECT direction, aspect FROM e WHERE predicate = 'affects' AND subject = 'SUPP:1' AND object = (SELECT min(object) FROM e WHERE predicate = 'affects' AND subject = 'SUPP:1') ORDER BY {FINGERPRINT} LIMIT 1")
 def _(g):
-    return g.edges.where("predicate = 'affects'").groupBy("subject", "object").agg(F.count_distinct("qual_fp").alias("n"), F.min_by("qualifiers", "qual_fp").alias("q")).where("n > 1").drop("q")
+    least = g.edges.where("predicate = 'affects' AND subject = 'SUPP:1'").agg(F.min("object")).first()[0]
+    found = metadata.edge(g, "SUPP:1", "biolink:affects", least)
+    return g.spark.createDataFrame([(found["object_direction_qualifier"], found["object_aspect_qualifier"])], "direction string, aspect string")
 
 
 @on_graph("F4_filter_nodes", "SELECT id FROM n WHERE id IN ('PART:1', 'NATION:1', 'PART:2') AND category = 'Part'")
@@ -215,9 +232,9 @@ def _(g):
     return metadata.edges_between(g, "NATION:0", "REGION:0")
 
 
-@on_graph("F14_numeric_constraint", "SELECT subject, object FROM t WHERE predicate = 'places' AND CAST(split_part(object, ':', 2) AS DOUBLE) > 14000.5")
+@on_graph("F14_numeric_constraint", "SELECT DISTINCT 'SUPP:' || CAST(s_suppkey AS VARCHAR) AS subject, 'NATION:' || CAST(s_nationkey AS VARCHAR) AS object FROM supplier WHERE s_acctbal > 4500.5")
 def _(g):
-    return g.triples.where("predicate = 'places'").where(attribute_test(F.split_part("object", F.lit(":"), F.lit(2)), None, ">", 14000.5)).select("subject", "object")
+    return bound(g, qgraph({"a": {}, "b": {}}, e=("a", ["located_in"], "b", {"attribute_constraints": [{"id": "biolink:balance", "operator": ">", "value": 4500.5}]})), ["n_a", "n_b"]).toDF("subject", "object")
 
 
 @on_graph("F15_node_constraint", "SELECT t.subject, t.object FROM t JOIN n ON n.id = t.subject WHERE t.predicate = 'located_in' AND t.object = 'NATION:2' AND regexp_matches(lower(n.name), 'supp.*1')")
@@ -274,10 +291,9 @@ def _(g):
     return walk(g, [None, {"predicate": "located_in", "agent_type": "manual"}, None]).select("n0", "n1")
 
 
-@on_graph("J10_verify_pairs", "SELECT t.subject, t.object, t.predicate FROM t JOIN (SELECT subject, object FROM t WHERE predicate = 'affects' AND subject = 'SUPP:3') c ON c.subject = t.subject AND c.object = t.object")
+@on_graph("J10_verify_pairs", "SELECT subject, object, predicate FROM t WHERE split_part(subject, ':', 1) = 'NATION' AND (subject, object) IN (SELECT subject, object FROM t WHERE predicate = 'interacts_with')")
 def _(g):
-    asked = g.triples.where("predicate = 'affects' AND subject = 'SUPP:3'").select("subject", "object").distinct()
-    return g.triples.join(asked, ["subject", "object"], "left_semi").select("subject", "object", "predicate")
+    return metadata.predicates_of(g, g.triples.where("predicate = 'interacts_with'"))
 
 
 @on_graph("J11_multiway", "SELECT a.object AS part FROM t a JOIN t b ON b.object = a.object AND b.predicate = 'affects' AND b.subject = 'SUPP:2' JOIN t c ON c.subject = a.object AND c.predicate = 'has_brand' WHERE a.predicate = 'affects' AND a.subject = 'SUPP:1'")
@@ -291,10 +307,13 @@ def _(g):
     return walk(g, ["SUPP:1", None, None, None, None]).select(F.col("n2").alias("id")).distinct().join(direct, "id", "left_anti")
 
 
-@on_graph("J18_mutual", "SELECT a.predicate, a.subject, a.object FROM t a JOIN t b ON b.subject = a.object AND b.object = a.subject AND b.predicate = a.predicate")
+#: Pairs of ends and how many ways round they are linked.
+WAYS = "AND u AS (SELECT predicate, least(subject, object) AS a, greatest(subject, object) AS b, count(*) AS ways FROM t GROUP BY 1, 2, 3)"
+
+
+@on_graph("J18_mutual", f"{WAYS} SELECT predicate, a AS subject, b AS object FROM u WHERE ways = 2 OR a = b UNION SELECT predicate, b, a FROM u WHERE ways = 2 OR a = b")
 def _(g):
-    back = g.triples.select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"))
-    return g.triples.join(back, ["subject", "predicate", "object"], "left_semi").select("predicate", "subject", "object")
+    return aggregates.mutual(g)
 
 
 # Paths
@@ -390,20 +409,24 @@ def _(g):
     return aggregates.sizes(g)
 
 
-AUDIT = "SELECT a.predicate, count(*) AS directed, count(*) FILTER (a.subject = a.object) AS self_loops, count(b.subject) AS recip_directed, CAST((count(b.subject) - count(*) FILTER (a.subject = a.object)) / 2 AS BIGINT) AS mutual_pairs, a.predicate = 'interacts_with' AS symmetric FROM t a LEFT JOIN t b ON b.subject = a.object AND b.object = a.subject AND b.predicate = a.predicate GROUP BY a.predicate"
+STATS = f"{WAYS}, s AS (SELECT predicate, CAST(sum(ways) AS BIGINT) AS directed, count(*) FILTER (a = b) AS self_loops, count(*) FILTER (a <> b AND ways = 2) AS mutual_pairs, 2 * count(*) FILTER (a <> b AND ways = 2) + count(*) FILTER (a = b) AS recip_directed, predicate = 'interacts_with' AS symmetric FROM u GROUP BY predicate)"
 
 
-@on_graph("A6_audit", AUDIT)
+@on_graph("A6_audit", f"{STATS} SELECT * FROM s")
 def _(g):
     return aggregates.audit(g)
 
 
-@on_graph("A7_findings", "SELECT 'info' AS severity, predicate FROM t WHERE predicate = 'interacts_with' GROUP BY predicate")
+@on_graph(
+    "A7_findings",
+    f"{STATS} SELECT * FROM (SELECT CASE WHEN s.symmetric THEN CASE WHEN recip_directed < 0.999 * directed THEN 'info' END WHEN self_loops = 0 AND mutual_pairs = 0 THEN NULL WHEN predicate IN ('subclass_of', 'located_in', 'part_of') THEN 'high' "
+    "WHEN predicate IN ('affects', 'regulates') THEN CASE WHEN mutual_pairs > 0 THEN 'low' ELSE 'medium' END WHEN mutual_pairs > 0 THEN 'medium' ELSE 'low' END AS severity, predicate, self_loops, mutual_pairs FROM s) WHERE severity IS NOT NULL",
+)
 def _(g):
-    return aggregates.findings(g).select("severity", "predicate")
+    return aggregates.findings(g).select("severity", "predicate", "self_loops", "mutual_pairs")
 
 
-@on_graph("A8_examples", "SELECT a.predicate, a.subject AS a, a.object AS b FROM t a JOIN t b ON b.subject = a.object AND b.object = a.subject AND b.predicate = a.predicate WHERE a.subject <= a.object")
+@on_graph("A8_examples", f"{WAYS} SELECT predicate, a, b FROM (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY a = b, a, b) AS k FROM u WHERE ways = 2 OR a = b) WHERE k <= 10")
 def _(g):
     return aggregates.examples(g)
 
@@ -424,11 +447,6 @@ def _(g):
     return aggregates.compare_answers(aggregates.answer_sets(rows.where("n1 < 'ORDER:5'"), ["n2"]), aggregates.answer_sets(rows, ["n2"]))
 
 
-@on_graph("D7_representative", "SELECT subject, object, min(predicate) AS predicate FROM t WHERE subject LIKE 'NATION:%' GROUP BY subject, object")
-def _(g):
-    return g.representative.where(F.col("subject").startswith("NATION:"))
-
-
 @on_graph("D7_representative_whole", "SELECT subject, object, min(predicate) AS predicate FROM t GROUP BY subject, object")
 def _(g):
     return g.representative
@@ -450,11 +468,280 @@ def _(g):
     return g.edges.select(full_column(F.col("predicate")).alias("predicate")).distinct()
 
 
-@on_graph("X12_groups", "SELECT 'other' AS grp, split_part(id, ':', 1) AS prefix, count(*) AS nodes FROM n GROUP BY 2")
+@on_graph(
+    "X12_groups",
+    "SELECT CASE category WHEN 'Part' THEN 'chemical' WHEN 'Nation' THEN 'gene' WHEN 'Region' THEN 'disease' ELSE CASE split_part(id, ':', 1) WHEN 'CUST' THEN 'disease' WHEN 'SUPP' THEN 'anatomy' WHEN 'ORDER' THEN 'clinical' ELSE 'other' END END AS grp, split_part(id, ':', 1) AS prefix, count(*) AS nodes FROM n GROUP BY 1, 2",
+)
+def _(g):
+    """Categories and prefixes are first put in the place of those that have a group."""
+    as_category, as_prefix = ({"Part": "Drug", "Nation": "Gene", "Region": "Disease"}, {"CUST": "MONDO", "SUPP": "UBERON", "ORDER": "UMLS"})
+    of = lambda known, c: F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[c], c)
+    prefix = F.split_part("id", F.lit(":"), F.lit(1))
+    group = name_class(F.concat(of(as_prefix, prefix), F.lit(":1")), F.transform("category", lambda c: of(as_category, c)))
+    return g.nodes.select(group.alias("grp"), prefix.alias("prefix")).groupBy("grp", "prefix").agg(F.count("*").alias("nodes"))
+
+
+@on_graph("X14_resolve", "SELECT id, name, CASE WHEN lower(name) = 'united states' THEN 15.0 WHEN contains(lower(name), 'united states') THEN 5.0 ELSE 0.0 END + len(list_intersect(string_split(lower(name), ' '), ['united', 'states'])) / len(string_split(lower(name), ' ')) AS score FROM n WHERE category = 'Nation' AND (contains(' ' || lower(name) || ' ', ' united ') OR contains(' ' || lower(name) || ' ', ' states '))")
+def _(g):
+    return resolve.scored(g, "United States", "biolink:Nation").select("id", "name", "score")
+
+
+# Operators whose answers are short: records, messages, texts and settings. Each is a table of what the operator says.
+
+
+def table_of(g: GraphStore, rows: list[tuple], schema: str) -> DataFrame:
+    return g.spark.createDataFrame(rows, schema)
+
+
+def text(value: str) -> str:
+    """A string as SQL has it."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def values(columns: str, *rows: tuple) -> str:
+    """SQL of some fixed rows."""
+    as_sql = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int)) else text(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(as_sql, r)) + ')' for r in rows)}) v({columns})"
+
+
+@on_graph("J14_ends", "SELECT subject AS id FROM t UNION SELECT object FROM t")
+def _(g):
+    return g.graph_nodes
+
+
+@on_graph("N8_hop_fields", "SELECT DISTINCT a.subject AS n0, a.object AS n1, b.object AS n2 FROM e a JOIN t b ON b.subject = a.object AND b.predicate = 'subclass_of' WHERE a.predicate = 'located_in' AND a.agent_type = 'MACHINERY' AND b.object = 'REGION:2'")
+def _(g):
+    return walk(g, [{"category": "Customer"}, {"predicate": "located_in", "agent_type": "MACHINERY"}, {"category": "Nation"}, "subclass_of", "REGION:2"]).select("n0", "n1", "n2")
+
+
+@on_graph("N15_neighbors_of_category", "SELECT DISTINCT object AS id FROM t JOIN n ON n.id = t.object AND n.category = 'Nation' WHERE subject = 'CUST:11'")
+def _(g):
+    return table_of(g, [(i,) for i in service.list_neighbors(g, "CUST:11", category="Nation")["neighbors"]], "id string")
+
+
+@on_graph("N16_expand_each", "SELECT subject AS n0, predicate AS p0, object AS n1 FROM t WHERE subject IN ('NATION:1', 'NATION:2', 'NATION:3')")
+def _(g):
+    return walk(g, [["NATION:1", "NATION:2", "NATION:3"], None, None]).select("n0", "p0", "n1")
+
+
+@on_graph("L2_hop_cap", "AND f AS (SELECT * FROM t WHERE predicate = 'affects' AND subject = 'SUPP:5' ORDER BY object LIMIT 4) SELECT f.object AS n1, b.object AS n2 FROM f JOIN t b ON b.subject = f.object AND b.predicate = 'has_brand'")
+def _(g):
+    return walk(g, ["SUPP:5", "affects", None, "has_brand", None], hop_cap=4).select("n1", "n2")
+
+
+@on_graph("L3_truncated", "SELECT least(count(*), 3) AS rows, count(*) > 3 AS truncated FROM t WHERE predicate = 'affects' AND subject = 'SUPP:5' UNION ALL SELECT least(count(*), 30), count(*) > 30 FROM t WHERE predicate = 'subclass_of' AND split_part(subject, ':', 1) = 'NATION'")
+def _(g):
+    rows = []
+    for spec, limit in ((["SUPP:5", "affects", None], 3), ([{"category": "Nation"}, "subclass_of", None], 30)):
+        stats = traverse.MatchStats()
+        rows.append((traverse.match_path(g, spec, limit=limit, stats=stats).count(), stats.truncated))
+    return table_of(g, rows, "rows long, truncated boolean")
+
+
+@on_graph("L4_limits", values("asked, given", ("null", 1000), ("0", 1), ("7", 7), ("1000000", 10000)))
+def _(g):
+    return table_of(g, [(json.dumps(v), service.clamped(v)) for v in (None, 0, 7, 1_000_000)], "asked string, given int")
+
+
+@on_graph("L5_ceilings", values("asked, refused", (1, False), (3, False), (4, True)))
+def _(g):
+    return table_of(g, [(n, "error" in service.find_associations(g, "CUST:1", "Nation", n, 1)) for n in (1, 3, 4)], "asked int, refused boolean")
+
+
+def constraint_rows(g: GraphStore, operator: str, value: object) -> DataFrame:
+    return bound(g, qgraph({"a": {}, "b": {"ids": ["NATION:4"]}}, e=("a", ["located_in"], "b", {"attribute_constraints": [{"id": "agent_type", "operator": operator, "value": value}]})), ["n_a"]).toDF("subject")
+
+
+@on_graph("X2_strict_equality", "SELECT DISTINCT subject FROM e WHERE predicate = 'located_in' AND object = 'NATION:4' AND agent_type = 'HOUSEHOLD'")
+def _(g):
+    return constraint_rows(g, "===", "HOUSEHOLD")
+
+
+@on_graph("X5_in", "SELECT DISTINCT subject FROM e WHERE predicate = 'located_in' AND object = 'NATION:4' AND agent_type IN ('HOUSEHOLD', 'manual')")
+def _(g):
+    return constraint_rows(g, "in", ["HOUSEHOLD", "manual"])
+
+
+@on_graph("X5_in_text", "SELECT DISTINCT subject FROM e WHERE predicate = 'located_in' AND object = 'NATION:4' AND contains('BUILDING or MACHINERY', agent_type)")
+def _(g):
+    return constraint_rows(g, "in", "BUILDING or MACHINERY")
+
+
+@on_graph("X13_curies", values("term, curie", ("PART:1", True), ("biolink:Part", False), ("part one", False), ("rdfs:label", True)))
+def _(g):
+    return table_of(g, [(t, is_curie(t)) for t in ("PART:1", "biolink:Part", "part one", "rdfs:label")], "term string, curie boolean")
+
+
+@on_graph("X15_names", "SELECT id, coalesce(name, id) AS name FROM n WHERE id IN ('NATION:1', 'REGION:2', 'BRAND:Brand#11') UNION ALL SELECT 'NONE:1', 'NONE:1'")
+def _(g):
+    return table_of(g, list(resolve.names(g, ["NATION:1", "REGION:2", "BRAND:Brand#11", "NONE:1"]).items()), "id string, name string")
+
+
+@on_graph("X15_resolve_one", "SELECT 'europe' AS asked, id FROM n WHERE category = 'Region' AND lower(name) = 'europe'")
+def _(g):
+    return table_of(g, [("europe", resolve.resolve_one(g, "europe", "Region"))], "asked string, id string")
+
+
+@on_graph("X16_path_text", "SELECT a.name || ' -[subclass_of]-> ' || b.name || ' <-[subclass_of]- ' || c.name AS path FROM n a, n b, n c WHERE a.id = 'NATION:0' AND c.id = 'NATION:5' AND b.id = 'REGION:0'")
+def _(g):
+    walked = [("NATION:0", "subclass_of", "REGION:0"), ("NATION:5", "subclass_of", "REGION:0")]
+    return table_of(g, [(resolve.path_text(walked, resolve.names(g, ["NATION:0", "REGION:0", "NATION:5"])),)], "path string")
+
+
+NATIONS = qgraph({"a": {"categories": ["biolink:Nation"]}, "b": {"ids": ["REGION:3"]}}, e=("a", ["biolink:subclass_of"], "b"))
+
+
+@on_graph("T2_match", "SELECT subject AS a, object AS b, true AS truncated FROM t WHERE predicate = 'subclass_of' AND object = 'REGION:3' ORDER BY subject LIMIT 3")
+def _(g):
+    found = pattern.match(g, NATIONS, 3)
+    return found.bindings.select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.lit(found.truncated).alias("truncated"))
+
+
+@on_graph("T1_message", "SELECT t.subject, n.name AS subject_name, 'biolink:' || predicate AS predicate, object FROM t JOIN n ON n.id = t.subject WHERE predicate = 'subclass_of' AND object = 'REGION:3'")
+def _(g):
+    graph = message.query(g, NATIONS)["message"]["knowledge_graph"]
+    return table_of(g, [(e["subject"], graph["nodes"][e["subject"]]["name"], e["predicate"], e["object"]) for e in graph["edges"].values()], "subject string, subject_name string, predicate string, object string")
+
+
+@on_graph("T13_rendered", "SELECT DISTINCT subject, 'biolink:knowledge_level=' || knowledge_level || ' biolink:agent_type=' || agent_type AS attributes FROM e WHERE predicate = 'located_in' AND object = 'NATION:7' AND split_part(subject, ':', 1) = 'CUST'")
+def _(g):
+    asked = qgraph({"a": {"categories": ["Customer"]}, "b": {"ids": ["NATION:7"]}}, e=("a", ["located_in"], "b"))
+    edges = message.query(g, asked, 10_000)["message"]["knowledge_graph"]["edges"].values()
+    return table_of(g, [(e["subject"], " ".join(f"{a['attribute_type_id']}={a['value']}" for a in e["attributes"])) for e in edges], "subject string, attributes string")
+
+
+@on_graph("F20_default_predicate", values("predicate", ("biolink:related_to",)))
+def _(g):
+    return table_of(g, [(message.knowledge_edge(("A:1", None, "B:1"), None)["predicate"],)], "predicate string")
+
+
+@on_graph("T14_drawing", values("line", ("(a biolink:Nation) --biolink:subclass_of--> (b REGION:3)",)))
+def _(g):
+    return table_of(g, [(line,) for line in message.drawing(NATIONS).split("\n")], "line string")
+
+
+PATTERN = [["CUST:1", "places", "?order:Order"], ["?order", "contains", "?part"]]
+
+
+@on_graph("T15_query_graph", values("subject, predicate, object", ("CUST:1", "biolink:places", "biolink:Order"), ("biolink:Order", "biolink:contains", "*")))
+def _(g):
+    graph, _ = dsl.to_query_graph(PATTERN)
+    shown = {k: (n.get("ids") or n.get("categories") or ["*"])[0] for k, n in graph["nodes"].items()}
+    return table_of(g, [(shown[e["subject"]], e["predicates"][0], shown[e["object"]]) for e in graph["edges"].values()], "subject string, predicate string, object string")
+
+
+@on_graph("T16_run", "SELECT DISTINCT b.object AS part, n.name AS part_name FROM t a JOIN t b ON b.subject = a.object AND b.predicate = 'contains' JOIN n ON n.id = b.object WHERE a.subject = 'CUST:1' AND a.predicate = 'places' ORDER BY part LIMIT 25")
+def _(g):
+    rows = dsl.run(g, PATTERN, ["?part"], name_lookup=True, node_subclassing=False)["rows"]
+    return table_of(g, [(r["part"], r["part_name"]) for r in rows], "part string, part_name string")
+
+
+@on_graph("T17_terms", values("term", ("biolink:contains",), ("biolink:places",), ("R",)))
+def _(g):
+    graph, _ = dsl.to_query_graph([*PATTERN, ["SUPP:1", {"predicate": "places", "direction": "R"}, "?part"]])
+    return table_of(g, [(t,) for terms in dsl.query_terms(graph) for t in terms], "term string")
+
+
+@on_graph("T18_errors", values("place", ("triple 0",), ("triple 1 subject",), ("triple 0 predicate",)))
+def _(g):
+    found = []
+    for wrong in ([["A:1", "p"]], [["A:1", "p", "B:1"], ["a name", "p", "B:1"]], [["A:1", {"colour": 1}, "B:1"]]):
+        try:
+            dsl.to_query_graph(wrong)
+        except dsl.PatternError as e:
+            found.append((str(e).partition(":")[0],))
+    return table_of(g, found, "place string")
+
+
+@on_graph("F19_validation", values("error", ("query_graph must be an object",), ("query_graph.nodes must be an object",), ("edge 'e' is missing 'subject'",), ("edge 'e' subject 'x' is not a node in the query graph",)))
+def _(g):
+    found = []
+    for wrong in (None, {"nodes": []}, {"nodes": {}, "edges": {"e": {}}}, {"nodes": {}, "edges": {"e": {"subject": "x", "object": "y"}}}):
+        try:
+            pattern.validated(wrong)
+        except ValueError as e:
+            found.append((str(e),))
+    return table_of(g, found, "error string")
+
+
+@on_graph("A4_schema", "SELECT 'predicate' AS kind, 'biolink:' || predicate AS term, count(*) AS n FROM e GROUP BY predicate UNION ALL SELECT 'category', 'biolink:' || category, count(DISTINCT id) FROM n GROUP BY category")
+def _(g):
+    found = service.describe_schema(g)
+    return table_of(g, [(kind, term, n) for kind, key in (("predicate", "predicates"), ("category", "categories")) for term, n in found[key].items()], "kind string, term string, n long")
+
+
+@on_graph("SV1_status", values("status", (200,), (400,), (503,)))
+def _(g):
+    asked = {"message": {"query_graph": NATIONS}, "limit": 5}
+    return table_of(g, [(service.handle(*x)[0],) for x in ((g, asked), (g, {}), (None, asked))], "status int")
+
+
+@on_graph("SV2_connect", "SELECT 'NATION:9 -[subclass_of]-> ' || object AS path FROM t WHERE subject = 'NATION:9' AND predicate = 'subclass_of'")
+def _(g):
+    region = next(r for r in service.list_neighbors(g, "NATION:9", "subclass_of")["neighbors"])
+    return table_of(g, [(p,) for p in service.connect_entities(g, "NATION:9", region)["paths"]], "path string")
+
+
+@on_graph("SV3_errors", values("tool, failed", ("neighbors", True), ("resolve", False), ("query", True)))
+def _(g):
+    said = {"neighbors": service.list_neighbors(g, "NONE:1"), "resolve": service.resolve_entity(g, "asia"), "query": service.graph_query(g, [["?a", "p", "?b"]])}
+    return table_of(g, [(k, "error" in v) for k, v in said.items()], "tool string, failed boolean")
+
+
+@on_graph("SV8_association_report", "AND d AS (SELECT DISTINCT t.object FROM t JOIN n ON n.id = t.object AND n.category = 'Nation' WHERE subject = 'NATION:2') SELECT 'direct' AS kind, object AS id FROM d UNION SELECT 'two hops', b.object FROM t a JOIN t b ON b.subject = a.object JOIN n ON n.id = b.object AND n.category = 'Nation' WHERE a.subject = 'NATION:2' AND b.object NOT IN (SELECT object FROM d)")
 def _(g):
-    return g.nodes.select(name_class(F.col("id"), F.col("category")).alias("grp"), F.split_part("id", F.lit(":"), F.lit(1)).alias("prefix")).groupBy("grp", "prefix").agg(F.count("*").alias("nodes"))
+    found = report.association_report(g, "NATION:2", "Nation")
+    return table_of(g, [("direct", r["id"]) for r in found["direct"]] + [("two hops", r["id"]) for r in found["two_hop"]], "kind string, id string").distinct()
 
 
-@on_graph("X14_resolve", "SELECT id, name FROM n WHERE list_contains(regexp_split_to_array(lower(name), '[^a-z0-9]+'), 'asia')")
+@on_graph("S22_audit_page", values("predicate", ("derives_from",), ("interacts_with",), ("part_of",), ("regulates",)))
 def _(g):
-    return resolve.scored(g, "Asia").select("id", "name")
+    found = report.audit_report(g)
+    page = report.audit_html(found)
+    return table_of(g, [(r["predicate"],) for r in found if r["predicate"] in page], "predicate string")
+
+
+# Sources
+
+
+@on_graph("S6_from_triples", "SELECT count(*) AS records, count(DISTINCT object) AS regions FROM t WHERE predicate = 'subclass_of' AND split_part(object, ':', 1) = 'REGION'")
+def _(g):
+    rows = g.triples.where("predicate = 'subclass_of' AND startswith(object, 'REGION:')").collect()  # 25 nations
+    small = from_triples(g.spark, [tuple(r) for r in rows])
+    return small.edges.agg(F.count("*").alias("records"), F.count_distinct("object").alias("regions"))
+
+
+@on_graph("S7_saved_graph", "SELECT predicate, count(*) AS records FROM e GROUP BY predicate")
+def _(g):
+    path = f"{shared_dir(g.spark)}/graph-{uuid.uuid4().hex}"
+    g.save(path)
+    return aggregates.predicate_counts(GraphStore.load(g.spark, path))
+
+
+@on_graph("S1_archive", "SELECT 'edge' AS kind, count(*) AS records FROM nation UNION ALL SELECT 'node', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)")
+def _(g):
+    """The nations and regions as an archive in the shared folder, scanned."""
+    wanted = g.nodes.where("array_contains(category, 'Nation') OR array_contains(category, 'Region')").collect()
+    edges = g.triples.where("predicate = 'subclass_of' AND startswith(object, 'REGION:')").collect()
+    members = {"nodes.jsonl": [{"id": r.id, "name": r.name, "category": r.category} for r in wanted], "edges.jsonl": [r.asDict() for r in edges]}
+    path = f"{shared_dir(g.spark)}/archive-{uuid.uuid4().hex}.tar.gz"
+    fs, at = FileSystem.from_uri(path)
+    with fs.open_output_stream(at, compression=None) as out, tarfile.open(fileobj=out, mode="w|gz") as tar:
+        for name, rows in members.items():
+            raw = "\n".join(map(json.dumps, rows)).encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            tar.addfile(info, io.BytesIO(raw))
+    store = archive.load(g.spark, path)
+    return store.edges.select(F.lit("edge").alias("kind")).unionByName(store.nodes.select(F.lit("node").alias("kind"))).groupBy("kind").agg(F.count("*").alias("records"))
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type and hour, as a stream that is read to its end."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.drained(ingest.counted(events, "event_type", "ts")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "records")
+
+
+QUERIES["ST1_windowed_counts"] = windowed
+ORACLE_SQL["ST1_windowed_counts"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS records FROM events GROUP BY 1, 2"
