@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets are one class; classes are joined.
 1. Two sets with a similarity of THRESHOLD share one of the first shingles of both, in any order of all shingles. The order
-   is by hash, with shingles that many classes have in that prefix last (found by counting, all documents, until no new one is
-   found); whatever that list holds, the join stays exact. Classes that share a prefix shingle meet in its group.
+   is by hash, with shingles that many classes have in that prefix last (found by counting, all documents, repeated ROUNDS
+   times); whatever that list holds, the join stays exact. Classes that share a prefix shingle meet in its group, which is
+   salted if many do.
 2. In each group every class is compared with one of it, chosen by a hash of class and key, and links found there are
    contracted to components: members of a large group of near copies need not all be compared with one another.
 3. Shingles are hashed into DIMENSIONS groups; a class's counts by group are a point, and the sum of the coordinate minima of
@@ -33,13 +34,13 @@ from kgspark.llm.common import id_text, mix, ngram_hashes, slices, word_hashes,
 from kgspark.llm.components import components
 
 SHINGLE, THRESHOLD, DIMENSIONS = 5, 80, 128
-#: A shingle in the prefixes of this many classes is put last; at most so many of them (what is hot beyond that is only salted).
-HOT, HOT_KEYS, SALTS = 30, 1 << 18, 64
+#: A shingle in the prefixes of this many classes is hot. Hot ones are put last, ROUNDS times, at most so many; a last count finds what is hot then.
+HOT, HOT_KEYS, ROUNDS, SALTS = 30, 1 << 18, 3, 64
 GROUP_ROWS, BROADCAST_ROWS = 20_000, 1_000_000
 #: Pairs of nodes that are bounded at once.
 NODE_PAIRS = 1 << 16
 #: Groups of up to TOGETHER rows that have much the same classes are dealt to DEALS tasks; pairs that a task remembers so as not to list them again.
-TOGETHER, DEALS, MOST_TOLD = 4_000, 16, 1_000_000
+TOGETHER, DEALS, MOST_TOLD = 4_000, 64, 1_000_000
 #: A coordinate of this value stands for any larger count: its point is never pruned.
 FULL = 255
 
@@ -207,17 +208,15 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, before: np.ndarray | None) -> Da
 
 
 def hot_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that are put last: those that HOT classes or more have in their prefix, then those that take their places, until there are none.
-
-    And all keys that are hot: the same, unless they are more than HOT_KEYS; the rest of a last count is only salted.
-    """
+    """Sorted keys that are put last, and those that are salted: the same, and what is hot once they are last."""
     hot, before = np.zeros(0, np.uint64), None
-    while True:
+    for k in range(ROUNDS + 1):
         many = _prefixes(docs, hot, before).groupBy("key").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(HOT_KEYS)
         new = np.setdiff1d(np.array([r[0] for r in many.collect()], np.int64).view(np.uint64), hot)
-        if not len(new) or len(hot) + len(new) > HOT_KEYS:
-            return hot, np.union1d(hot, new)
+        if not len(new) or k == ROUNDS or len(hot) + len(new) > HOT_KEYS:
+            break
         hot, before = np.union1d(hot, new), hot
+    return hot, np.union1d(hot, new)
 
 
 def described(docs: DataFrame, hot: np.ndarray, salted: np.ndarray) -> DataFrame:
