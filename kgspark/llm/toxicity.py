@@ -34,6 +34,8 @@ SAMPLE = {0: 4000, 1: 2000}
 WORDS = re.compile(r"\w+")
 #: Words whose share a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 300_000
+#: Words whose buckets are Python lists at once.
+BAG_WORDS = 5_000
 
 
 def buckets(word: str) -> list[int]:
@@ -60,10 +62,13 @@ class Bags:
     """Distinct words with their buckets as flat arrays."""
 
     def __init__(self, words: list[str]):
-        bags = [buckets(w) for w in words]
-        self.n = np.array([len(b) for b in bags], np.int64)
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for k in range(0, len(words), BAG_WORDS):
+            bags = [buckets(w) for w in words[k : k + BAG_WORDS]]
+            sizes.append(np.array([len(b) for b in bags], np.int32))
+            parts.append(np.fromiter((x for b in bags for x in b), np.int32))
+        self.n, self.flat = np.concatenate(sizes).astype(np.int64), np.concatenate(parts)
         self.at = np.cumsum(self.n) - self.n
-        self.flat = np.array([x for b in bags for x in b], np.int64)
 
     def means(self, by_bucket: np.ndarray) -> np.ndarray:
         return np.add.reduceat(by_bucket[self.flat], self.at) / self.n if len(self.n) else np.zeros(0)
@@ -94,16 +99,20 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     """Each epoch takes every document's segment that scores highest so far (at first, all of toxic ones) and a random one of clean ones."""
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM, np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
-    docs = [(words, y) for text, y in sample if (words := WORDS.findall(text.lower()))]
-    if len({y for _, y in docs}) < 2:
-        model.constant = float(docs[0][1]) if docs else 0.0
-        return model
     index: dict[str, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for words, _ in docs for w in words], np.int64)
-    bags, label = Bags(list(index)), np.array([y for _, y in docs])
-    size = np.array([len(w) for w, _ in docs])
+    texts, labels = [], []
+    for text, y in sample:  # a text's words become numbers at once: as objects they would take many times the text's size
+        words = np.fromiter((index.setdefault(w, len(index)) for w in WORDS.findall(text.lower())), np.int32)
+        if len(words):
+            texts.append(words), labels.append(y)
+    if len(set(labels)) < 2:
+        model.constant = float(labels[0]) if labels else 0.0
+        return model
+    flat, label = np.concatenate(texts), np.array(labels)
+    bags, size = Bags(list(index)), np.array([len(w) for w in texts])
+    del texts
     parts = -(-size // SEGMENT)
-    doc = np.repeat(np.arange(len(docs)), parts)
+    doc = np.repeat(np.arange(len(size)), parts)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = np.repeat(np.cumsum(size) - size, parts) + nth * SEGMENT
     count = np.minimum(SEGMENT, np.repeat(size, parts) - nth * SEGMENT)
