@@ -23,6 +23,16 @@ from kgspark.llm.common import id_text, slices
 
 #: Fixed value: the pattern that splits text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points that are letters or numbers for the regex module, whose Unicode is newer than the tokenizers library's, and neither for the latter.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 "
+    "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+).split()
+#: The same as a set, and the pattern with letters and numbers as the library knows them; texts below the first of them need it not.
+NEWER_SET = "".join("-".join(regex.escape(chr(int(x, 16))) for x in r.split("-")) for r in NEWER)
+STRICT_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{NEWER_SET}])+").replace(r"\p{L}+|", rf"[^\P{{L}}{NEWER_SET}]+|").replace(r"\p{N}+|", rf"[^\P{{N}}{NEWER_SET}]+|")
+RARE = regex.compile(rf"[{chr(int(NEWER[0], 16))}-\U0010FFFF]")
 NONE = np.int64(1 << 40)
 #: Words whose ids a worker keeps; beyond it the memory starts anew (the results are the same).
 CACHE_WORDS = 200_000
@@ -55,7 +65,7 @@ class Bpe:
         self.raw = np.frombuffer(b"".join(table), np.uint8)
         self.raw_len = np.array([len(t) for t in table], np.int64)
         self.raw_at = np.concatenate(([0], np.cumsum(self.raw_len)))[:-1]
-        self.words = regex.compile(PATTERN)
+        self.words, self.strict = regex.compile(PATTERN), regex.compile(STRICT_PATTERN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.forget()
 
@@ -106,7 +116,7 @@ class Bpe:
         self.ids, self.n = np.concatenate((self.ids, ids)), np.concatenate((self.n, n))
 
     def split(self, text: str) -> list[str]:
-        return self.words.findall(text)
+        return (self.strict if RARE.search(text) else self.words).findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; special tokens written in a text become their ids."""

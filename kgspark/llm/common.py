@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.sources.folders import remove, shared_dir
+
 #: Characters of text that a Python worker holds at once, so memory does not follow the partition.
 SLICE_CHARS = 2_000_000
 
@@ -24,16 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 #: Paths of the tables written in the innermost scratch().
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -48,8 +37,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCRATCH.reset(token)
         for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
 
 
 def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:

@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -190,6 +191,10 @@ class Reader:
         self.directory: tuple[int, list[bytes], list[tuple[int, int]]] = (-1, [], [])
         self.block: tuple[int, int, list[bytes], list[bytes]] = (-1, -1, [], [])
 
+    def close(self) -> None:
+        while self.open:
+            self.open.popitem()[1].close()
+
     def handle(self, path: str):
         if path not in self.open:
             if len(self.open) >= OPEN_FILES:
@@ -244,20 +249,20 @@ def read(wanted: DataFrame, index: Index, payload: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, p) for p, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())], ["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(index)
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         rows, size = [], 0
-        for batch in batches:
-            for key in batch.column(0).to_pylist():
-                for capture in reader.find(key.encode()):
-                    r = reader.read(capture)
-                    size += len(r["payload"] or b"") if payload else 100
-                    rows.append(r if payload else r | {"payload": None})
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+        with closing(Reader(index)) as reader:
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    for capture in reader.find(key.encode()):
+                        r = reader.read(capture)
+                        size += len(r["payload"] or b"") if payload else 100
+                        rows.append(r if payload else r | {"payload": None})
+                        if size > 4_000_000:
+                            yield pa.RecordBatch.from_pylist(rows, kinds)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
     asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(keys, "key string").distinct()
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # keys are short, what they lead to is not: left to itself, AQE would put them in one task

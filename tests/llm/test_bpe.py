@@ -57,3 +57,14 @@ def test_query_hashes(spark, tmp_path, docs):
     rows = {r.doc_id: r for r in queries.op8_bpe(spark, str(tmp_path)).collect()}
     assert rows[0].n_tokens == 0 and rows[0].ids_sha256 == rows[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert rows[1].decoded_sha256 == hashlib.sha256(b"word").hexdigest()
+
+
+def test_words_equal_the_library_for_all_code_points():
+    """Every code point beside letters, digits, signs, spaces, itself and its neighbour is cut into words as the library does."""
+    own, library = bpe.loaded(PATH), Tokenizer.from_file(PATH).pre_tokenizer
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 20_000):
+        part = points[k : k + 20_000]
+        for text in ("".join(f"a{c}1{c}!{c} {c}\n{c}{c}" for c in part), "".join(part), "".join(f"{a}{b} " for a, b in zip(part, reversed(part), strict=True))):
+            assert own.split(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+    assert own.split("\U00011dc8蜛") == ["\U00011dc8", "蜛"]
