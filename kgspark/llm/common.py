@@ -23,15 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths of the tables written in the innermost scratch().
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: Paths of the tables written in each scratch() that is open, the innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written in it go at its end; what is to stay is written with kept."""
+    """Tables that are written in it go at its end; what is to stay longer is written with up."""
     paths: list[str] = []
-    token = _SCRATCH.set(paths)
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
     try:
         yield
     finally:
@@ -40,16 +40,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
-    """df as a table in the shared folder: the lineage ends there, and losing executors loses nothing."""
-    spark = df.sparkSession
+def written(df: DataFrame, name: str, up: int = 0) -> DataFrame:
+    """df as a table in the shared folder: the lineage ends there, and losing executors loses nothing. It outlives `up` scratches."""
+    spark, open_ = df.sparkSession, _SCRATCH.get()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not kept and (paths := _SCRATCH.get()) is not None:
-        paths.append(path)
+    if up < len(open_):
+        open_[-1 - up].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches again, cut where a slice's text (column number text) passes `most` bytes; a single longer text is a slice."""
     for batch in batches:

@@ -8,11 +8,13 @@ contaminated by an item if tiles cover COVERAGE of the item's words, in whatever
 
 The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES, one block after another; documents are never shuffled.
 Null or empty texts and items without a word share nothing. Null ids stay, repeated rows each give their rows, an item
-that occurs twice under two ids is reported under both, and other columns are not read. Empty tables: no rows.
+that occurs twice under two ids is reported under both, an item row that is repeated once, and other columns are not read.
+Empty tables: no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,21 +61,36 @@ def scan(p: np.ndarray, t: np.ndarray, free_p: np.ndarray, free_t: np.ndarray, l
     return found
 
 
+def free_runs(free_p: np.ndarray, free_t: np.ndarray, n: int, i: int, j: int) -> list[tuple[int, int, int]]:
+    """What is left unmarked of a match of n words, as (words, start in p, start in t)."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], free_p[i : i + n] & free_t[j : j + n], [False])).astype(np.int8)))
+    return [(b - a, i + a, j + a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
 def tiling(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiles (words, start in p, start in t) of an item's word hashes p in a text's t."""
+    """Greedy string tiles (words, start in p, start in t) of an item's word hashes p in a text's t.
+
+    Exactly those of the greedy rule: the longest match of unmarked words first, of equal ones the first in p, then in t. Each
+    round's Karp-Rabin search finds all matches of its length or more; what a tile leaves of one comes back among the others.
+    """
     free_p, free_t, tiles = np.ones(len(p), bool), np.ones(len(t), bool), []
     length = max(least, len(p))
     while True:
-        found = sorted(scan(p, t, free_p, free_t, length), key=lambda m: (-m[0], m[1], m[2]))
-        for n, i, j in found:
-            if free_p[i : i + n].all() and free_t[j : j + n].all():
-                free_p[i : i + n] = free_t[j : j + n] = False
-                tiles.append((n, i, j))
+        found = [(-n, i, j) for n, i, j in scan(p, t, free_p, free_t, length)]
+        heapq.heapify(found)
+        while found:
+            n, i, j = heapq.heappop(found)
+            left = free_runs(free_p, free_t, -n, i, j)
+            if left == [(-n, i, j)]:
+                free_p[i : i - n] = free_t[j : j - n] = False
+                tiles.append((-n, i, j))
+            else:
+                for m, a, b in left:
+                    if m >= length:
+                        heapq.heappush(found, (-m, a, b))
         if length == least:
-            if not found or not scan(p, t, free_p, free_t, least):
-                return sorted(tiles, key=lambda m: m[1])
-        else:
-            length = max(least, length * 2 // 3)
+            return sorted(tiles, key=lambda m: m[1])
+        length = max(least, length * 2 // 3)
 
 
 class Benchmark:
@@ -126,11 +143,11 @@ class Benchmark:
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Benchmark]:
     """The benchmark in blocks of at most BLOCK_BYTES (of one item where it is longer)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + total * 2 // BLOCK_BYTES
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() if n > 1 else items.collect()
         if rows:
             yield Benchmark([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import id_text, mix, ngram_hashes, slices, word_hashes, written
+from kgspark.llm.common import free_name, id_text, mix, ngram_hashes, slices, word_hashes, written
 from kgspark.llm.components import components
 
 SHINGLE, THRESHOLD, DIMENSIONS = 5, 80, 128
@@ -390,11 +390,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays or goes as a whole; of its rows with equal texts one stays.
     """
     linked = written(link(docs, id_col, text_col), "linked")
-    gone = written(linked.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left, twice = free_name(docs, "gone"), free_name(docs, "twice")
+    gone = written(linked.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias(left)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    repeated = written(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "repeated-ids")
+    own = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(gone, own == F.col(left), "left_anti")
+    repeated = written(linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice)), "repeated-ids")
     if repeated.isEmpty():
         return kept
-    same = F.col(id_col).cast("long") == F.col("__twice")
+    same = own == F.col(twice)
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.common import free_name
+
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 SYMBOLS, SEPARATORS = "#*$%&|<>", "|»›•·"
 #: Phrases of page furniture.
@@ -105,10 +107,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that stay, without their failing lines; all columns as they came (none may be named __judged)."""
-    judged = docs.withColumn("__judged", judgement(text_col))
-    kept = verdicts(F.col("__judged.w.n_words"), F.col("__judged.w.n_repeat_words"), F.col("__judged.l.n_words_kept"))[1]
-    return judged.where(kept).select(*[F.col("__judged.l.clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, without their failing lines; all columns as they came."""
+    j = free_name(docs, "judged")
+    judged = docs.withColumn(j, judgement(text_col))
+    kept = verdicts(F.col(f"{j}.w.n_words"), F.col(f"{j}.w.n_repeat_words"), F.col(f"{j}.l.n_words_kept"))[1]
+    return judged.where(kept).select(*[F.col(f"{j}.l.clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same for DuckDB.

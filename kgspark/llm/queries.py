@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm import bpe, decontaminate, html_text, jaccard_join, passages, pii, quality_knn, quality_rules, toxicity, warc
-from kgspark.llm.common import table
+from kgspark.llm.common import scratch, table, written
 
 
 #: The key of the registered query; a deployment passes a secret of its own.
 PII_KEY = "registered query"
 
 
+def kept(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns as a table; the tables that it wrote on the way go."""
+    with scratch(spark):
+        return written(make(), name, up=1)
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", F.col("__pii_entities").cast("long").alias("n_entities"))
@@ -51,11 +59,11 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return kept(spark, lambda: jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id"), "op9")
 
 
 def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated(table(spark, sf_dir, "documents"))
+    return kept(spark, lambda: passages.repeated(table(spark, sf_dir, "documents")), "op10")
 
 
 QUERIES = {"op1_string_tiling": op1_string_tiling, "op3_warc_index": op3_warc_index, "op2_knn_quality": op2_knn_quality, "op4_subword_toxicity": op4_subword_toxicity, "op5_line_blocks": op5_line_blocks, "op6_line_rules": op6_line_rules, "op7_surrogates": op7_surrogates, "op8_bpe": op8_bpe, "op9_jaccard": op9_jaccard, "op10_compact_windows": op10_compact_windows}

@@ -6,16 +6,23 @@ import pyarrow as pa
 from kgspark.llm import common
 
 
-def test_scratch_tables_go_and_kept_ones_stay(spark):
+def test_scratch_tables_go_and_others_stay(spark):
+    at = lambda df: df.inputFiles()[0].removeprefix("file:").removeprefix("//")
     with common.scratch(spark):
-        gone = common.written(spark.range(3), "gone")
-        kept = common.written(gone, "kept", kept=True)
-        path = gone.inputFiles()[0].removeprefix("file:")
-        assert os.path.exists(path)
-    assert not os.path.exists(path) and kept.count() == 3
+        with common.scratch(spark):
+            gone = common.written(spark.range(3), "gone")
+            outer, kept = common.written(gone, "outer", up=1), common.written(gone, "kept", up=2)
+            first, second = at(gone), at(outer)
+            assert os.path.exists(first)
+        assert not os.path.exists(first) and os.path.exists(second)
+    assert not os.path.exists(second) and kept.count() == 3
     assert common.written(spark.range(2), "outside").count() == 2
 
 
+def test_free_names(spark):
+    assert common.free_name(spark.range(1).selectExpr("id AS x", "id AS X_"), "x") == "x__"
+
+
 def test_slices_keep_all_rows_in_order():
     batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([None if i % 7 == 0 else "x" * i * 10 for i in range(50)])], ["k", "text"])
     parts = list(common.slices(iter([batch, batch.slice(0, 0)]), 1, 500))

@@ -10,7 +10,7 @@ from tests.llm.conftest import prose
 
 def brute_tiles(p, t, least):
     """Greedy string tiling by comparing all places."""
-    free_p, free_t, total = [True] * len(p), [True] * len(t), 0
+    free_p, free_t, tiles = [True] * len(p), [True] * len(t), []
     while True:
         best = (0, 0, 0)
         for i in range(len(p)):
@@ -21,22 +21,36 @@ def brute_tiles(p, t, least):
                 best = max(best, (n, -i, -j))
         n, i, j = best[0], -best[1], -best[2]
         if n < least:
-            return total
+            return sorted(tiles)
         for k in range(n):
             free_p[i + k] = free_t[j + k] = False
-        total += n
+        tiles.append((i, j, n))
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=22))
-def test_tiles_do_not_overlap_and_cover_nearly_what_greedy_covers(p, t):
+def test_tiles_equal_greedy_string_tiling(p, t):
     tiles = d.tiling(np.array(p, np.uint64), np.array(t, np.uint64), 2)
-    for rows, size, which in ((p, len(p), 1), (t, len(t), 2)):
-        places = [x for m in tiles for x in range(m[which], m[which] + m[0])]
-        assert len(places) == len(set(places)) and all(0 <= x < size for x in places)
-    assert all(p[i : i + n] == t[j : j + n] and n >= 2 for n, i, j in tiles)
-    if tiles or brute_tiles(p, t, 2):
-        assert max((n for n, _, _ in tiles), default=0) == max(n for n in range(2, 30) if any(p[i : i + n] == t[j : j + n] for i in range(len(p) - n + 1) for j in range(len(t) - n + 1)))
+    assert sorted((i, j, n) for n, i, j in tiles) == brute_tiles(p, t, 2)
+
+
+def test_long_tiles_equal_greedy_string_tiling():
+    """Passages of an item in another order, some broken, in a longer text."""
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        p = rng.integers(0, 60, 45)
+        cuts = np.sort(rng.choice(45, 4, replace=False))
+        parts = np.split(p, cuts)
+        t = np.concatenate([x for k in rng.permutation(5) for x in (parts[k], rng.integers(0, 60, 4), parts[k][: len(parts[k]) // 2])])
+        tiles = d.tiling(p.astype(np.uint64), t.astype(np.uint64), 3)
+        assert tiles and sorted((i, j, n) for n, i, j in tiles) == brute_tiles(p.tolist(), t.tolist(), 3)
+
+
+def test_many_equal_items_go_to_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 2000)
+    benchmark = spark.createDataFrame([(i, prose(1, 20)) for i in range(60)] * 2, "item_id long, text string")
+    sizes = [len(b.ids) for b in d.blocks(benchmark)]
+    assert sum(sizes) == 60 and max(sizes) < 25
 
 
 def test_table(spark, docs):
