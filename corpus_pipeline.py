@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written and read again; a stage's own tables go when it is written, its result when the last one is."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        with scratch(spark):  # a stage's own tables go when its result is written
-            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
+    with scratch(spark):
+        for k, (name, stage) in enumerate(STAGES):
+            with scratch(spark):
+                docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), up=2 if k == len(STAGES) - 1 else 1)
     return docs
