@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -45,6 +46,28 @@ def full_column(c: Column) -> Column:
     return F.when(F.contains(c, F.lit(":")), c).otherwise(F.concat(F.lit(PREFIX), c))
 
 
+def stable_hash(*columns: Column) -> Column:
+    """64 bits that are the same on every machine and run."""
+    return F.xxhash64(*columns)
+
+
+def encoded(fields: Column) -> Column:
+    """A record's fields (map or struct) as JSON text, in the order in which they stand."""
+    return F.to_json(fields)
+
+
+def decoded(text: Column) -> Column:
+    """The fields of a record's JSON text, each as text; null where it is no object."""
+    return F.from_json(text, "map<string,string>")
+
+
+def readable_bytes(n: float) -> str:
+    """1536 as 1.5 KB."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    power = min(len(units) - 1, max(0, int(math.log(max(abs(n), 1), 1024))))
+    return f"{n / 1024**power:.1f} {units[power]}"
+
+
 def is_curie(term: str) -> bool:
     return ":" in term and not term.startswith(PREFIX)
 

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark import service
-from kgspark.functions.terms import full_column, is_curie, name_class
+from kgspark.functions.terms import decoded, encoded, full_column, is_curie, name_class, readable_bytes, stable_hash
 from kgspark.operators import aggregates, metadata, paths, traverse
 from kgspark.plans import dsl, message, pattern, report, resolve
-from kgspark.sources import archive, tables
+from kgspark.sources import archive, release, tables
 from kgspark.sources.folders import shared_dir
 from kgspark.sources.store import GraphStore, from_triples, variants
 from kgspark.streaming import ingest
@@ -567,6 +567,22 @@ def _(g):
     return constraint_rows(g, "in", "BUILDING or MACHINERY")
 
 
+@on_graph("X11_stable_hash", "SELECT count(DISTINCT id) AS hashes FROM n")
+def _(g):
+    return g.nodes.select(stable_hash(F.col("id")).alias("h")).distinct().agg(F.count("*").alias("hashes"))
+
+
+@on_graph("X17_json", """SELECT DISTINCT '{"object_direction_qualifier":"' || direction || '","object_aspect_qualifier":"' || aspect || '"}' AS text, direction FROM e WHERE predicate = 'affects'""")
+def _(g):
+    rows = g.edges.where("predicate = 'affects'").select(encoded(F.col("qualifiers")).alias("text")).distinct()
+    return rows.select("text", decoded(F.col("text"))["object_direction_qualifier"].alias("direction"))
+
+
+@on_graph("X18_readable_bytes", values("n, text", (0, "0.0 B"), (1536, "1.5 KB"), (5 << 20, "5.0 MB")))
+def _(g):
+    return table_of(g, [(n, readable_bytes(n)) for n in (0, 1536, 5 << 20)], "n int, text string")
+
+
 @on_graph("X13_curies", values("term, curie", ("PART:1", True), ("biolink:Part", False), ("part one", False), ("rdfs:label", True)))
 def _(g):
     return table_of(g, [(t, is_curie(t)) for t in ("PART:1", "biolink:Part", "part one", "rdfs:label")], "term string, curie boolean")
@@ -676,6 +692,19 @@ def _(g):
     return table_of(g, [(service.handle(*x)[0],) for x in ((g, asked), (g, {}), (None, asked))], "status int")
 
 
+@on_graph("SV1_routes", values("request, status", ("GET /health", 200), ("GET /version", 200), ("GET /nothing", 404), ("POST /query", 200), ("POST /query?summary", 200)))
+def _(g):
+    body = json.dumps({"message": {"query_graph": NATIONS}, "limit": 2}).encode()
+    return table_of(g, [(r, service.route(g, *r.split(" "), body)[0]) for r in ("GET /health", "GET /version", "GET /nothing", "POST /query", "POST /query?summary")], "request string, status int")
+
+
+@on_graph("SV5_cached_loader", values("same", (True,)))
+def _(g):
+    path = f"{shared_dir(g.spark)}/graph-{uuid.uuid4().hex}"
+    from_triples(g.spark, [("A:1", "p", "B:1")]).save(path)
+    return table_of(g, [(service.loaded(g.spark, path) is service.loaded(g.spark, path),)], "same boolean")
+
+
 @on_graph("SV2_connect", "SELECT 'NATION:9 -[subclass_of]-> ' || object AS path FROM t WHERE subject = 'NATION:9' AND predicate = 'subclass_of'")
 def _(g):
     region = next(r for r in service.list_neighbors(g, "NATION:9", "subclass_of")["neighbors"])
@@ -718,9 +747,8 @@ def _(g):
     return aggregates.predicate_counts(GraphStore.load(g.spark, path))
 
 
-@on_graph("S1_archive", "SELECT 'edge' AS kind, count(*) AS records FROM nation UNION ALL SELECT 'node', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)")
-def _(g):
-    """The nations and regions as an archive in the shared folder, scanned."""
+def small_archive(g: GraphStore) -> str:
+    """The nations and regions as an archive in the shared folder."""
     wanted = g.nodes.where("array_contains(category, 'Nation') OR array_contains(category, 'Region')").collect()
     edges = g.triples.where("predicate = 'subclass_of' AND startswith(object, 'REGION:')").collect()
     members = {"nodes.jsonl": [{"id": r.id, "name": r.name, "category": r.category} for r in wanted], "edges.jsonl": [r.asDict() for r in edges]}
@@ -732,10 +760,52 @@ def _(g):
             info = tarfile.TarInfo(name)
             info.size = len(raw)
             tar.addfile(info, io.BytesIO(raw))
-    store = archive.load(g.spark, path)
+    return path
+
+
+@on_graph("S8_held_graph", "SELECT predicate, count(*) AS records FROM e WHERE predicate IN ('located_in', 'subclass_of') GROUP BY predicate")
+def _(g):
+    small = GraphStore(g.nodes, g.edges.where("predicate IN ('located_in', 'subclass_of')")).hold()
+    return aggregates.predicate_counts(small)
+
+
+@on_graph("S9_sizes", values("name, known", ("nodes", True), ("edges", True)))
+def _(g):
+    return table_of(g, [(name, n > 0) for name, n in g.bytes_by_table().items()], "name string, known boolean")
+
+
+@on_graph("S1_archive", "SELECT 'edge' AS kind, count(*) AS records FROM nation UNION ALL SELECT 'node', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)")
+def _(g):
+    store = archive.load(g.spark, small_archive(g))
     return store.edges.select(F.lit("edge").alias("kind")).unionByName(store.nodes.select(F.lit("node").alias("kind"))).groupBy("kind").agg(F.count("*").alias("records"))
 
 
+@on_graph("S4_archive_predicates", "SELECT count(*) AS edges, 0 AS others FROM nation")
+def _(g):
+    rows = archive.read_once(g.spark, small_archive(g))
+    kept = archive.graph_of(rows, "archive", predicates=["biolink:subclass_of"])
+    return kept.edges.agg(F.count("*").alias("edges"), F.count_if(F.col("predicate") != "subclass_of").alias("others"))
+
+
+@on_graph("S16_release", "SELECT count(*) AS records, count(*) AS triples, count(*) + (SELECT count(*) FROM region) AS nodes, true AS same_digest FROM nation")
+def _(g):
+    target = f"{shared_dir(g.spark)}/release-{uuid.uuid4().hex}"
+    made = release.build(g.spark, small_archive(g), target)
+    same = release.tree_digest(g.spark, f"{target}/edges") == made["artifacts"]["edges"]
+    return table_of(g, [(made["source_record_count"], made["edge_count"], made["node_count"], same)], "records long, triples long, nodes long, same_digest boolean")
+
+
+@on_graph("S20_format_gate", values("refused", (True,)))
+def _(g):
+    path = f"{shared_dir(g.spark)}/graph-{uuid.uuid4().hex}"
+    g.spark.createDataFrame([('{"store_format_version": 1}',)], "value string").write.text(f"{path}/manifest")
+    try:
+        GraphStore.load(g.spark, path)
+    except ValueError:
+        return table_of(g, [(True,)], "refused boolean")
+    return table_of(g, [(False,)], "refused boolean")
+
+
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by type and hour, as a stream that is read to its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -1,4 +1,4 @@
-"""The engine behind a server, a tool set or a command line: pure functions from requests to answers."""
+"""The engine behind a server, a tool set or a command line: functions from requests to answers, and a small HTTP server around them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import functools
 import json
 import os
 from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,51 @@ def meta(store: GraphStore) -> dict:
     }
 
 
+@functools.lru_cache(maxsize=4)
+def loaded(spark: SparkSession, path: str) -> GraphStore:
+    """A saved graph; the same one for the same path."""
+    return GraphStore.load(spark, path)
+
+
+def route(store: GraphStore | None, method: str, target: str, body: bytes = b"") -> tuple[int, object]:
+    """Status and answer of a request to /query (POST, ?summary for text), /, /meta, /version or /health."""
+    url = urlsplit(target)
+    if method == "POST" and url.path == "/query":
+        try:
+            asked = json.loads(body)
+        except ValueError:
+            return 400, {"error": "the request must be JSON"}
+        return handle(store, asked, "summary" in parse_qs(url.query, keep_blank_values=True))
+    if method == "GET" and url.path == "/health":
+        return health(store)
+    pages = {"/": lambda s: {"service": "kgspark", "routes": ["/query", "/meta", "/version", "/health"]}, "/meta": meta, "/version": version}
+    if method != "GET" or url.path not in pages:
+        return 404, {"error": f"there is no {method} {url.path}"}
+    return (200, pages[url.path](store)) if store else (503, {"error": "no graph is loaded"})
+
+
+def server(store: GraphStore | None, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
+    """A server of route(), a thread for each request (Spark runs their jobs side by side); serve_forever() starts it."""
+
+    class Requests(BaseHTTPRequestHandler):
+        def answer(self) -> None:
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            status, said = route(store, self.command, self.path, body)
+            raw = said.encode() if isinstance(said, str) else json.dumps(said).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "text/plain; charset=utf-8" if isinstance(said, str) else "application/json")
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        do_GET = do_POST = answer
+
+        def log_message(self, *args: object) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Requests)
+
+
 def tool(f: Callable) -> Callable:
     """A tool answers anticipated mistakes as {"error": ...}."""
 
@@ -150,7 +197,7 @@ def graph_info(store: GraphStore) -> dict:
 
 
 def main(argv: list[str] | None = None) -> None:
-    """resolve, assoc, connect and neighbors on a saved graph."""
+    """resolve, assoc, connect, neighbors and serve on a saved graph."""
     parser = argparse.ArgumentParser(prog="kgspark")
     parser.add_argument("store")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -162,8 +209,11 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument("--hops", type=int, default=1)
         if name in ("resolve", "neighbors"):
             sub.add_argument("--category")
+    commands.add_parser("serve").add_argument("--port", type=int, default=int(os.environ.get("KGSPARK_PORT", 8080)))
     got = parser.parse_args(argv)
-    store = GraphStore.load(SparkSession.builder.getOrCreate(), got.store)
+    store = loaded(SparkSession.builder.getOrCreate(), got.store)
+    if got.command == "serve":
+        server(store, os.environ.get("KGSPARK_HOST", "127.0.0.1"), got.port).serve_forever()
     answer = {
         "resolve": lambda: resolve_entity(store, got.text, got.category), "assoc": lambda: find_associations(store, got.source, got.category, got.hops),
         "connect": lambda: connect_entities(store, got.a, got.b), "neighbors": lambda: list_neighbors(store, got.node, None, got.category),

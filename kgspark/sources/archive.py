@@ -1,4 +1,4 @@
-"""Archives of node and edge records as a Spark data source: tar, gzip or zstd, one task an archive."""
+"""Archives of node and edge records as a Spark data source: tar, gzip or zstd, local or at a URI, one task an archive."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kgspark.sources.folders import written
 from kgspark.sources.store import GraphStore, from_json
 
 SUFFIXES = (".tar.zst", ".tar.gz", ".tgz", ".tar")
@@ -83,12 +84,21 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("kgx").option("path", path).load()
 
 
-def load(spark: SparkSession, path: str, predicates: list[str] | None = None, node_fields: list[str] | None = None, edge_fields: list[str] | None = None) -> GraphStore:
-    """A graph from an archive. Without an edge it is a ValueError."""
-    rows = scan(spark, path)
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """What scan gives, as a table: one task unpacks an archive, once, and many read what it has written."""
+    return written(scan(spark, path), "archive")
+
+
+def graph_of(rows: DataFrame, path: str, predicates: list[str] | None = None, node_fields: list[str] | None = None, edge_fields: list[str] | None = None) -> GraphStore:
+    """The graph of an archive's rows. Without an edge it is a ValueError."""
     store = from_json(rows.where("kind = 'node'"), rows.where("kind = 'edge'"), predicates, node_fields, edge_fields)
     if store.edges.isEmpty():
         raise ValueError(f"{path}: no edges")
     about = rows.where("kind = 'graph_metadata'").first()
     store.manifest = {"biolink_version": json.loads(about.json).get("biolinkVersion")} if about else {}
     return store
+
+
+def load(spark: SparkSession, path: str, predicates: list[str] | None = None, node_fields: list[str] | None = None, edge_fields: list[str] | None = None) -> GraphStore:
+    """A graph from an archive, or from several, separated by commas."""
+    return graph_of(read_once(spark, path), path, predicates, node_fields, edge_fields)

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,14 @@ class GraphStore:
         text = json.dumps(self.manifest | {"store_format_version": FORMAT_VERSION})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
+    def hold(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> GraphStore:
+        """The same graph, its tables kept where the level says once they are read; what does not fit in memory goes to disk."""
+        return GraphStore(self.nodes.persist(level), self.edges.persist(level), self.manifest)
+
+    def bytes_by_table(self) -> dict[str, int]:
+        """What the planner takes each table to hold; nothing is read."""
+        return {name: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for name, df in (("nodes", self.nodes), ("edges", self.edges))}
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> GraphStore:
         manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])

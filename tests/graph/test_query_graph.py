@@ -1,3 +1,8 @@
+import json
+import threading
+import urllib.error
+import urllib.request
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +152,23 @@ def test_service(synthetic):
     assert service.list_neighbors(synthetic, "RIVER:1", category="Lake")["neighbors"] == {"LAKE:1": "Thun", "LAKE:2": "Thun shore, upper"}
     assert service.graph_query(synthetic, [["Aare", "feeds", "?g"]])["rows"][0]["g_name"] == "Thun"
     assert service.graph_info(synthetic)["triples"] == 4 and "biolink:Lake" in service.describe_schema(synthetic)["categories"] and service.resolve_entity(synthetic, "aare")["candidates"]
+
+
+def test_http(synthetic):
+    web = service.server(synthetic)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{web.server_address[1]}"
+    try:
+        asked = json.dumps({"message": {"query_graph": graph({"a": {"ids": ["RIVER:1"]}, "b": {}}, e=("a", [], "b"))}}).encode()
+        answer = json.load(urllib.request.urlopen(f"{at}/query", asked))
+        assert len(answer["message"]["results"]) == 2
+        assert "2 results" in urllib.request.urlopen(f"{at}/query?summary", asked).read().decode()
+        assert json.load(urllib.request.urlopen(f"{at}/health")) == {"status": "ok"} and "store_format_version" in json.load(urllib.request.urlopen(f"{at}/version"))
+        for target, body, status in (("/query", b"{", 400), ("/query", b"[]", 400), ("/none", None, 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                urllib.request.urlopen(at + target, body)
+            assert e.value.code == status
+    finally:
+        web.shutdown()
+        web.server_close()
+    assert service.route(None, "GET", "/meta")[0] == 503 and service.route(None, "GET", "/health")[0] == 503

@@ -67,7 +67,7 @@ def test_release(spark, tmp_path):
     manifest = release.build(spark, path, target, "test", "1")
     assert (manifest["source_record_count"], manifest["edge_count"], manifest["variant_count"], manifest["node_count"]) == (4, 2, 3, 2)
     assert GraphStore.load(spark, target).manifest["biolink_version"] == "4.3.7" and not os.path.exists(f"{target}.building")
-    assert manifest["artifacts"]["edges"] == release.tree_digest(f"{target}/edges")
+    assert manifest["artifacts"]["edges"] == release.tree_digest(spark, f"{target}/edges")
     with pytest.raises(release.ReleaseError):
         release.build(spark, path, target)
     assert release.build(spark, path, target, force=True)["edge_count"] == 2
