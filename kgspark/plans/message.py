@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.terms import QUALIFIERS, full
 from kgspark.operators.metadata import least_variants, record
 from kgspark.plans.expand import Expander
-from kgspark.plans.pattern import match, validated
+from kgspark.plans.pattern import bindings, match, validated
 from kgspark.sources.store import GraphStore
 
 RESOURCE = "infores:kgspark"
@@ -38,6 +42,31 @@ def knowledge_edge(triple: tuple[str, str, str], row: dict | None) -> dict:
     return out
 
 
+RENDERED = "subject string, predicate string, object string, attributes array<struct<attribute_type_id: string, value: string>>, qualifiers array<struct<qualifier_type_id: string, qualifier_value: string>>"
+
+
+def rendered_edges(store: GraphStore, query_graph: dict, node_subclassing: bool = True, subclass_depth: int | None = 1) -> DataFrame:
+    """Every edge that the query graph's matches name, as knowledge_edge shows it, without any limit; values that are no text as JSON."""
+    _, edges = validated(query_graph)
+    found = bindings(store, query_graph, node_subclassing, subclass_depth)
+    triples = None
+    for e in edges:
+        own = found.select(*(F.col(f"{x}_{e.key}").alias(n) for x, n in (("s", "subject"), ("p", "predicate"), ("o", "object"))))
+        triples = own if triples is None else triples.unionByName(own)
+    rows = least_variants(store.edges.join(triples.distinct(), ["subject", "predicate", "object"], "left_semi"))
+    text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = [knowledge_edge((r["subject"], r["predicate"], r["object"]), r | {"qualifiers": dict(r["qualifiers"] or [])}) for r in batch.to_pylist()]
+            named = [e | {"attributes": [a | {"value": text(a["value"])} for a in e["attributes"]], "qualifiers": e.get("qualifiers", [])} for e in shown]
+            yield pa.RecordBatch.from_pylist([{k: e[k] for k in schema.names} for e in named], schema)
+
+    pair = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+    schema = pa.schema([*((n, pa.string()) for n in ("subject", "predicate", "object")), ("attributes", pair("attribute_type_id", "value")), ("qualifiers", pair("qualifier_type_id", "qualifier_value"))])
+    return rows.mapInArrow(run, RENDERED)
+
+
 def query(store: GraphStore, query_graph: dict, limit: int = 1000, expander: Expander | None = None, node_subclassing: bool = True, subclass_depth: int | None = 1) -> dict:
     """A message with at most `limit` results; logs say so where there are more."""
     if limit is None:

@@ -622,8 +622,8 @@ def _(g):
 @on_graph("T13_rendered", "SELECT DISTINCT subject, 'biolink:knowledge_level=' || knowledge_level || ' biolink:agent_type=' || agent_type AS attributes FROM e WHERE predicate = 'located_in' AND object = 'NATION:7' AND split_part(subject, ':', 1) = 'CUST'")
 def _(g):
     asked = qgraph({"a": {"categories": ["Customer"]}, "b": {"ids": ["NATION:7"]}}, e=("a", ["located_in"], "b"))
-    edges = message.query(g, asked, 10_000)["message"]["knowledge_graph"]["edges"].values()
-    return table_of(g, [(e["subject"], " ".join(f"{a['attribute_type_id']}={a['value']}" for a in e["attributes"])) for e in edges], "subject string, attributes string")
+    shown = F.transform("attributes", lambda a: F.concat_ws("=", a["attribute_type_id"], a["value"]))
+    return message.rendered_edges(g, asked).select("subject", F.concat_ws(" ", shown).alias("attributes")).distinct()
 
 
 @on_graph("F20_default_predicate", values("predicate", ("biolink:related_to",)))

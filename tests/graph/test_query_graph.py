@@ -10,7 +10,7 @@ from kgspark import service
 from kgspark.functions.terms import attribute_test
 from kgspark.plans import dsl
 from kgspark.plans.expand import Expander, expand_query_graph
-from kgspark.plans.message import drawing, query
+from kgspark.plans.message import drawing, query, rendered_edges
 from kgspark.plans.pattern import bindings, match, validated
 from kgspark.plans.report import association_html, association_report, association_text, audit_html, audit_report
 from kgspark.plans.resolve import names, path_text, resolve, resolve_one
@@ -172,3 +172,10 @@ def test_http(synthetic):
         web.shutdown()
         web.server_close()
     assert service.route(None, "GET", "/meta")[0] == 503 and service.route(None, "GET", "/health")[0] == 503
+
+
+def test_rendered_edges_are_those_of_a_message(synthetic, qualified):
+    for store, asked in ((synthetic, graph({"a": {}, "b": {}, "c": {}}, x=("a", None, "b"), y=("b", None, "c"))), (qualified, graph({"a": {"ids": ["A:1"]}, "b": {}}, x=("a", None, "b")))):
+        want = [e | {"attributes": [a | {"value": a["value"] if isinstance(a["value"], str) else json.dumps(a["value"])} for a in e["attributes"]], "qualifiers": e.get("qualifiers", [])} for e in query(store, asked)["message"]["knowledge_graph"]["edges"].values()]
+        got = [r.asDict(True) | {"sources": e["sources"]} for r, e in zip(rendered_edges(store, asked).orderBy("subject", "predicate", "object").collect(), want, strict=True)]
+        assert want and got == sorted(want, key=lambda e: (e["subject"], e["predicate"], e["object"]))
