@@ -508,21 +508,35 @@ PAIR = "x long, y long, f int, cx int, cy int, ax int, bx int, ay int, by int"
 
 
 def leads_on(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """What stars gives, for pairs of one group of three texts or more that are alike around the centre."""
+    """What stars gives, for pairs of one group of three texts or more that are alike around the centre.
+
+    Groups that no task holds have their rounds in tables until they have come down to GROUP_ROWS; the pairs are the same either way.
+    """
     side = [F.coalesce(F.col(k).cast("long"), "cls").alias(k) for k in ("after", "before")]  # a text without a side is like no other
-    some = written(met.where("many > 2").select("v", "cls", *side).groupBy("v", "after", "before").agg(F.min("cls").alias("cls")).select("v", "cls"), "passage-contexts")
-    groups = written(some.groupBy("v").count().where("count > 1"), "passage-groups")
-    keys = written(some.join(groups, "v", "left_semi").select(F.expr("v ^ cls").alias("v")), "passage-keys")
-    rows = windows(docs, Sketch.of(keys), context=True)
+    some = written(met.where("many > 2").select("v", "cls", *side).groupBy("v", "after", "before").agg(F.min("cls").alias("cls"), F.count("*").alias("texts")).select("v", "cls", "texts"), "passage-contexts")
+    groups = written(some.groupBy("v").agg(F.count("*").alias("count"), F.sum("texts").alias("texts")).where("count > 1 AND texts > 2").select("v", "count"), "passage-groups")
+    keys = written(some.join(groups, "v", "left_semi").select("v", "cls"), "passage-keys")
+    rows = windows(docs, Sketch.of(keys.select(F.expr("v ^ cls").alias("v"))), context=True)
     hot = groups.where(F.col("count") > GROUP_ROWS).select("v")
+    if hot.isEmpty():
+        return met_in_tasks(rows, keys)
+    rows = written(rows, "passage-around")
+    large = rows.join(keys.join(hot, "v", "left_semi"), ["v", "cls"], "left_semi").dropDuplicates(["v", "cls"])
+    return met_in_tasks(rows.join(hot, "v", "left_anti"), keys.join(hot, "v", "left_anti")).unionByName(met_in_tables(written(large, "passage-large")))
+
+
+def met_in_tasks(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """met_in_columns for groups that a task holds. keys (v, cls): the only rows that count, since windows come through a Bloom filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(part: pa.Table) -> pa.RecordBatch:
-            v, cls, a, c, b = (part[n].to_numpy() for n in ("v", "cls", "a", "c", "b"))
-            once = np.flatnonzero(np.concatenate(([True], (cls[1:] != cls[:-1]) | (v[1:] != v[:-1]))))
-            v, cls, a, c, b = (k[once] for k in (v, cls, a, c, b))
-            around = np.frombuffer(b"".join(part["around"].to_pylist()), np.uint16).reshape(part.num_rows, -1)[once]
-            x, y = met_in_columns(np.cumsum(np.concatenate(([0], v[1:] != v[:-1]))), around)
+            v, cls = (part[n].to_numpy() for n in ("v", "cls"))
+            named = part["around"].is_null().to_numpy()  # a key comes before its rows, of which there may be several
+            once = 1 + np.flatnonzero(named[:-1] & ~named[1:] & (cls[1:] == cls[:-1]) & (v[1:] == v[:-1]))
+            part, v, cls = part.take(pa.array(once)), v[once], cls[once]
+            a, c, b = (part[n].to_numpy() for n in ("a", "c", "b"))
+            around = np.frombuffer(b"".join(part["around"].to_pylist()), np.uint16).reshape(len(v), 2 * LEAST - 1)
+            x, y = met_in_columns(np.cumsum(np.concatenate(([0], v[1:] != v[:-1]))) if len(v) else once, around)
             x, y = np.where(cls[x] > cls[y], x, y), np.where(cls[x] > cls[y], y, x)
             return pa.RecordBatch.from_arrays([pa.array(k) for k in (cls[x], cls[y], np.full(len(x), -1, np.int32), c[x], c[y], a[x], b[x], a[y], b[y])], ["x", "y", "f", "cx", "cy", "ax", "bx", "ay", "by"])
 
@@ -531,7 +545,7 @@ def leads_on(docs: DataFrame, met: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(k.num_rows for k in held) >= 2 * CONTEXT_ROWS:
+            if sum(k.num_rows for k in held) >= 4 * CONTEXT_ROWS:
                 part = pa.Table.from_batches(held)
                 v = part["v"].to_numpy()
                 last = int(np.searchsorted(v, v[-1], "left"))
@@ -541,17 +555,16 @@ def leads_on(docs: DataFrame, met: DataFrame) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    def small(group: DataFrame) -> DataFrame:
-        return group.repartition("v").sortWithinPartitions("v", "cls").mapInArrow(run, PAIR)
-
-    if hot.isEmpty():
-        return small(rows)
-    rows = written(rows.dropDuplicates(["v", "cls"]), "passage-around")
-    return small(rows.join(hot, "v", "left_anti")).unionByName(met_in_tables(rows.join(hot, "v", "left_semi")))
+    both = rows.select("v", "cls", "a", "c", "b", "around").unionByName(keys.select("v", "cls"), allowMissingColumns=True)
+    return both.repartition("v").sortWithinPartitions("v", "cls", F.col("around").asc_nulls_first()).mapInArrow(run, PAIR)
 
 
 def met_in_tables(rows: DataFrame) -> DataFrame:
-    """One round of met_in_columns for groups that no task holds: least and greatest by aggregation, then joins that AQE may split."""
+    """met_in_columns for groups that no task holds: a round is an aggregation and joins that AQE may split.
+
+    Groups that a round leaves with GROUP_ROWS rows or fewer go on in tasks; those in which it found nothing are done.
+    """
+    ends = ("c", "a", "b")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -561,21 +574,47 @@ def met_in_tables(rows: DataFrame) -> DataFrame:
                 row, k = np.nonzero(around[:, at])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((k.astype(np.int32) << 16) | around[row, at[k]])], ["v", "cls", "cell"])
 
-    met = rows.select("v", "cls", "around").mapInArrow(cells, "v long, cls long, cell int")
-    ends = met.groupBy("v", "cell").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
-    pairs = met.join(ends, ["v", "cell"]).select("v", "cls", F.explode(F.array("least", "most")).alias("other")).where("cls <> other").select("v", F.greatest("cls", "other").alias("x"), F.least("cls", "other").alias("y")).distinct()
-    one, two = (rows.select("v", F.col("cls").alias(n), *[F.col(k).alias(f"{k}{n}") for k in ("a", "b", "c", "around")]) for n in "xy")
-    both = pairs.join(one, ["v", "x"]).join(two, ["v", "y"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["v", "own", "partner", "first", "last"]
         for batch in batches:
             if batch.num_rows:
-                around = np.concatenate([np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for n in (9, 10)])
-                k = np.arange(batch.num_rows)
-                keep = pa.array(np.flatnonzero(alike(around, k, k + batch.num_rows)[0] >= 0))
-                yield pa.RecordBatch.from_arrays([batch.column(n).take(keep) for n in range(9)], ["x", "y", "f", "cx", "cy", "ax", "bx", "ay", "by"])
-
-    return both.select("x", "y", F.lit(-1).alias("f"), "cx", "cy", "ax", "bx", "ay", "by", "aroundx", "aroundy").mapInArrow(run, PAIR)
+                around = np.concatenate([np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for n in ("aroundx", "aroundy")])
+                for own, partner, shift in (("x", "y", 0), ("y", "x", batch.num_rows)):
+                    k = np.flatnonzero(batch.column(f"of{own}").to_numpy(zero_copy_only=False))
+                    first, last = alike(around, k + shift, k + batch.num_rows - shift)
+                    keep = pa.array(k[first >= 0])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n).take(keep) for n in ("v", own, partner)), *(pa.array(n[first >= 0].astype(np.int32)) for n in (first, last))], names)
+
+    found, rest = [], []
+    while True:
+        met = rows.select("v", "cls", "around").mapInArrow(cells, "v long, cls long, cell int")
+        least = met.groupBy("v", "cell").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
+        asked = met.join(least, ["v", "cell"]).select("v", "cls", F.explode(F.array("least", "most")).alias("other")).where("cls <> other")
+        asked = asked.groupBy("v", F.greatest("cls", "other").alias("x"), F.least("cls", "other").alias("y")).agg(F.max(F.expr("cls > other")).alias("ofx"), F.max(F.expr("cls < other")).alias("ofy"))
+        one, two = (rows.select("v", F.col("cls").alias(n), F.col("around").alias(f"around{n}")) for n in "xy")
+        both = asked.join(one, ["v", "x"]).join(two, ["v", "y"]).select("v", "x", "y", "ofx", "ofy", "aroundx", "aroundy")
+        some = both.mapInArrow(compared, "v long, own long, partner long, first int, last int")
+        side = lambda n, sign: F.min(F.struct((sign * F.floor(F.col(n) / NARROW)).alias("side"), "partner"))
+        wide = some.groupBy("v", "own").agg(side("first", 1).alias("l"), side("last", -1).alias("r"))  # as widest has them
+        pairs = written(wide.select("v", "own", F.explode(F.array_distinct(F.array("l.partner", "r.partner"))).alias("partner")), "passage-round")
+        if pairs.isEmpty():
+            break
+        of = [rows.select("v", F.col("cls").alias(n), *[F.col(k).alias(f"{k}{n}") for k in ends]) for n in "xy"]
+        named = pairs.select("v", F.greatest("own", "partner").alias("x"), F.least("own", "partner").alias("y")).distinct()
+        found.append(named.join(of[0], ["v", "x"]).join(of[1], ["v", "y"]).select("x", "y", F.lit(-1).alias("f"), "cx", "cy", "ax", "bx", "ay", "by"))
+        done = pairs.select("v", F.explode(F.array("own", "partner")).alias("cls")).distinct()
+        left = written(rows.join(pairs.select("v").distinct(), "v", "left_semi").join(done, ["v", "cls"], "left_anti"), "passage-left")
+        large = left.groupBy("v").count().where(F.col("count") > GROUP_ROWS).select("v")
+        rest.append(left.join(large, "v", "left_anti"))
+        rows = written(left.join(large, "v", "left_semi"), "passage-large")
+        if rows.isEmpty():
+            break
+    out = rows.sparkSession.createDataFrame([], PAIR)
+    for k in found:
+        out = out.unionByName(k)
+    for k in rest:
+        out = out.unionByName(met_in_tasks(k, k.select("v", "cls")))
+    return out
 
 
 def packed(tokens: np.ndarray) -> bytes:

@@ -112,6 +112,54 @@ def test_near_passages_with_a_frequent_line_in_smaller_texts(docs, monkeypatch,
     assert sum((120 + 2 * i, 121 + 2 * i) in pairs or (121 + 2 * i, 120 + 2 * i) in pairs for i in range(30)) >= 29
 
 
+def test_group_size_changes_no_row(docs, monkeypatch):
+    """Rounds in tables, in tasks, or in both, whatever a Bloom filter lets through and however copies are dealt out: the same rows."""
+    line, rng = prose(77, 30), random.Random(3)
+    texts = [prose(i, 40) + " " + line + " " + prose(500 + i, 40) for i in range(20)]
+    for i in range(3):
+        left, right = prose(2000 + i, 40).split(), prose(3000 + i, 40).split()
+        for k in range(14):
+            words = [*left[rng.randint(0, 30) :], *line.split(), *right[: rng.randint(10, 40)]]
+            words[rng.randrange(len(words))] = f"other{i}x{k}"
+            texts.append(" ".join([prose(4000 + 20 * i + k, 30), *words, prose(5000 + 20 * i + k, 30)]))
+    twice = [prose(i, 30) + " " + prose(900, 60) + " " + prose(700 + i, 30) for i in (9001, 9002)]
+    rows = docs(texts + twice)
+    want = sorted(p.repeated(rows).collect())
+    for size in (1, 30):
+        monkeypatch.setattr(p, "GROUP_ROWS", size)
+        assert sorted(p.repeated(rows).collect()) == want
+    monkeypatch.setattr(p.Sketch, "may_have", lambda self, v: np.ones(len(v), bool))
+    assert sorted(p.repeated(rows).collect()) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(p, "GROUP_ROWS", 1)
+    assert sorted(p.repeated(rows.repartition(7)).collect()) == want
+
+
+@pytest.mark.parametrize("group_rows", [1, 3, 40])
+def test_rounds_in_tables_are_those_of_a_task(spark, monkeypatch, group_rows):
+    """Near families that one round does not finish, in groups of several sizes: the same pairs as in one task."""
+    rng, width = np.random.default_rng(8), 2 * p.LEAST - 1
+    rows = []
+    for v, (families, members) in enumerate([(12, 9), (5, 3), (1, 2), (30, 1)]):
+        line = rng.integers(1, 1 << 16, 24)
+        for _ in range(families):
+            base = rng.integers(1, 1 << 16, width)
+            for _ in range(members):
+                own = base.copy()
+                reach = int(rng.integers(p.LEAST, width))
+                at = int(rng.integers(0, width - reach + 1))
+                own[:at], own[at + reach :] = rng.integers(1, 1 << 16, at), rng.integers(1, 1 << 16, width - at - reach)
+                own[rng.integers(0, width, 3)] = rng.integers(1, 1 << 16, 3)
+                own[p.LEAST - 12 : p.LEAST + 12] = line
+                rows.append((v, int(rng.integers(-(1 << 62), 1 << 62)), 0, len(rows), 2, own.astype(np.uint16).tobytes()))
+    rows = spark.createDataFrame(rows, "v long, cls long, a int, c int, b int, around binary")
+    want = set(p.met_in_tasks(rows, rows.select("v", "cls")).collect())
+    monkeypatch.setattr(p, "GROUP_ROWS", group_rows)
+    assert want and set(p.met_in_tables(rows).collect()) == want
+    some = rows.where("c % 2 = 0")
+    assert set(p.met_in_tasks(rows, some.select("v", "cls")).collect()) == set(p.met_in_tasks(some.unionByName(some), some.select("v", "cls")).collect())
+
+
 def contexts_of(rng):
     """Seven contexts: 1, 3 and 6 are alike, and 2 and 5; 7 shares a line with all of a second group."""
     width = 2 * p.LEAST - 1
