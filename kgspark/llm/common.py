@@ -50,6 +50,12 @@ def written(df: DataFrame, name: str, up: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """df, once the shuffle files of jobs that are over may go: Spark deletes them when the driver collects its garbage, else at some later time."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -86,10 +92,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: For bytes.translate: 1 for white space, else 0; A-Z as a-z.
+_SPACE = bytes(c in b" \t\n\v\f\r" for c in range(256))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -116,15 +121,18 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
 
     The result has len(texts) + 1 offsets. All texts are hashed at once from prefix sums over their bytes.
     """
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    text = b" ".join(texts) + b" "
     if lower:
-        raw = _LOWER[raw]
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
+        text = text.translate(_LOWER)
+    raw, space = np.frombuffer(text, np.uint8), np.frombuffer(text.translate(_SPACE), bool)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate(([0], edge))
     start, stop = edge[::2], edge[1::2]
     p, q = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * p[: len(raw)], out=sums[1:])
+    np.multiply(_BYTE[raw], p[: len(raw)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     words = mix((sums[stop] - sums[start]) * q[start] + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     return words, np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)

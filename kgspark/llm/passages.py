@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import id_text, mix, ngram_hashes, slices, word_hashes, written
+from kgspark.llm.common import freed, id_text, mix, ngram_hashes, scratch, slices, word_hashes, written
 
 SHINGLE, MIN_WORDS, THRESHOLD = 5, 50, 80
 HASHES, ENOUGH, SIDE, STEP = 4, 2, 22, 3
@@ -49,6 +49,8 @@ NARROW = 6
 MATCHES, LISTED = 1 << 22, 4
 #: Pairs with one leader that are verified in a task before the next salt begins; ids that go to all tasks at most.
 PER_LEADER, BROADCAST_ROWS = 500, 1_000_000
+#: Parts in which pairs are verified one after the other, so that disk holds the shuffled tokens of one.
+PARTS = 4
 LEAST = MIN_WORDS - SHINGLE + 1  # a passage's tokens
 #: Equal tokens that a passage of LEAST tokens has at least.
 EQUAL = int(np.ceil(LEAST * 2 * THRESHOLD / (100 + THRESHOLD)))
@@ -100,7 +102,12 @@ def compact_windows(values: np.ndarray, begin: np.ndarray, end: np.ndarray, leas
 
 def first_places(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a token is its document's first of its kind; doc rises."""
-    order = np.argsort(tokens, kind="stable")
+    key = mix(tokens ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+    in_order = np.sort(key)
+    often = np.zeros(1 << 22, bool)
+    often[in_order[1:][in_order[1:] == in_order[:-1]] >> np.uint64(42)] = True
+    some = np.flatnonzero(often[key >> np.uint64(42)])  # all that stand in a document again, and a few more
+    order = some[np.argsort(tokens[some], kind="stable")]
     again = (tokens[order][1:] == tokens[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     out = np.ones(len(tokens), bool)
     out[order[1:][again]] = False
@@ -166,14 +173,17 @@ def together(v: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return v ^ cls
 
 
-def text_class(words: np.ndarray) -> int:
-    place = mix(np.arange(len(words), dtype=np.uint64) + np.uint64(len(words)))
-    return int(mix(np.sum(mix(words ^ place), keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+def text_classes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for each text's word sequence; texts begin at at[:-1]."""
+    n = np.diff(at)
+    place = np.arange(len(words)) + np.repeat(n - at[:-1], n)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words ^ mix(place.astype(np.uint64))), out=sums[1:])
+    return mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
 
 
-def texts_of(part: pa.RecordBatch, column: int = 1) -> list[np.ndarray]:
-    words, at = word_hashes([t.encode() for t in part.column(column).to_pylist()])
-    return [words[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(part.column(1).cast(pa.binary()).to_pylist())
 
 
 def contexts(tokens: np.ndarray, c: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -194,11 +204,10 @@ def windows(docs: DataFrame, known: Sketch | None = None, context: bool = False)
         seen: set[int] = set()
         known = sent.value
         for part in slices(batches, 1):
-            words, at = word_hashes([t.encode() for t in part.column(1).to_pylist()])
-            cls = np.zeros(len(at) - 1, np.int64)
+            words, at = words_of(part)
+            cls = text_classes(words, at)
             fresh = np.zeros(len(at) - 1, bool)
             for d in np.flatnonzero(np.diff(at) >= MIN_WORDS).tolist():
-                cls[d] = text_class(words[at[d] : at[d + 1]])
                 fresh[d] = int(cls[d]) not in seen
                 seen.add(int(cls[d]))
             begin, end = at[:-1][fresh], at[1:][fresh] - SHINGLE + 1
@@ -239,8 +248,8 @@ def described(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            texts = texts_of(part)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_class(w) for w in texts], pa.int64()), pa.array([len(w) for w in texts], pa.int64())], ["doc_id", "cls", "n"])
+            words, at = words_of(part)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text_classes(words, at)), pa.array(np.diff(at))], ["doc_id", "cls", "n"])
 
     return docs.mapInArrow(run, "doc_id long, cls long, n long")
 
@@ -520,7 +529,7 @@ def leads_on(docs: DataFrame, met: DataFrame) -> DataFrame:
     hot = groups.where(F.col("count") > GROUP_ROWS).select("v")
     if hot.isEmpty():
         return met_in_tasks(rows, keys)
-    rows = written(rows, "passage-around")
+    rows = freed(written(rows, "passage-around"))
     large = rows.join(keys.join(hot, "v", "left_semi"), ["v", "cls"], "left_semi").dropDuplicates(["v", "cls"])
     return met_in_tasks(rows.join(hot, "v", "left_anti"), keys.join(hot, "v", "left_anti")).unionByName(met_in_tables(written(large, "passage-large")))
 
@@ -633,23 +642,19 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     24 bits of each token's hash are sent: tokens are only compared near a diagonal, where that tells them apart.
     """
-    ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
-    wanted = written(rows.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "passage-texts")
+    ends = pairs.select(F.col("x").alias("cls"), F.lit(False).alias("leads")).unionByName(pairs.select(F.col("y").alias("cls"), F.lit(True).alias("leads"))).groupBy("cls").agg(F.max("leads").alias("leads"))
+    wanted = written(rows.join(ends, "cls").groupBy("cls", "leads").agg(F.min("doc_id").alias("doc_id")), "passage-texts")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            texts = texts_of(part)
-            right = [text_class(w) == c for w, c in zip(texts, part.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right, pa.bool_())), pa.array([packed(ngram_hashes(w, SHINGLE)) for w, r in zip(texts, right, strict=True) if r], pa.binary())], ["cls", "tokens"])
-
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text").mapInArrow(tokens, "cls long, tokens binary")
-    texts = written(texts.dropDuplicates(["cls"]), "passage-tokens")
-    many = pairs.groupBy("y").count().select("y", F.ceil(F.col("count") / PER_LEADER).cast("int").alias("salts"))
-    dealt = pairs.join(many, "y").select("x", "y", F.pmod(F.xxhash64("x"), "salts").cast("int").alias("salt"), "seeds")
-    members = dealt.join(texts.withColumnRenamed("cls", "x"), "x").select("y", "salt", "x", "seeds", "tokens")
-    leaders = many.select(F.col("y").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts, "cls").select(F.col("cls").alias("y"), "salt", F.lit(None).cast("long").alias("x"), F.lit(None).cast(pairs.schema["seeds"].dataType).alias("seeds"), "tokens")
-    both = members.unionByName(leaders).repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first())
+            words, at = words_of(part)
+            right = text_classes(words, at) == part.column(0).to_numpy()
+            texts = [words[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).filter(pa.array(right)) for k in (0, 2)), pa.array([packed(ngram_hashes(w, SHINGLE)) for w, r in zip(texts, right, strict=True) if r], pa.binary())], ["cls", "leads", "tokens"])
+
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text", "leads").mapInArrow(tokens, "cls long, leads boolean, tokens binary")
+    texts = freed(written(texts.dropDuplicates(["cls"]), "passage-tokens"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, Places(np.zeros(0, np.uint32))
@@ -669,7 +674,34 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["x", "y", "x_start", "x_words", "y_start", "y_words", "similarity", "only"])
 
-    return both.mapInArrow(check, "x long, y long, x_start long, x_words long, y_start long, y_words long, similarity double, only long")
+    out = None
+    for part in range(PARTS):
+        own = pairs.where(F.pmod("x", F.lit(PARTS)) == part)
+        many = own.groupBy("y").count().select("y", F.ceil(F.col("count") / PER_LEADER).cast("int").alias("salts"))
+        dealt = own.join(many, "y").select("x", "y", F.pmod(F.xxhash64("x"), "salts").cast("int").alias("salt"), "seeds")
+        members = dealt.join(texts.where(F.pmod("cls", F.lit(PARTS)) == part).select(F.col("cls").alias("x"), "tokens"), "x").select("y", "salt", "x", "seeds", "tokens")
+        leaders = many.join(texts.where("leads").select(F.col("cls").alias("y"), "tokens"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), F.lit(None).cast(pairs.schema["seeds"].dataType).alias("seeds"), "tokens")
+        both = members.unionByName(leaders).repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first())
+        found = freed(written(both.mapInArrow(check, "x long, y long, x_start long, x_words long, y_start long, y_words long, similarity double, only long"), "passages", up=1))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def candidate_pairs(docs: DataFrame) -> DataFrame:
+    """x, y, seeds (see candidates) of the pairs of texts to verify; the tables on the way go when it is written."""
+    with scratch(docs.sparkSession):
+        shared = freed(written(windows(docs).groupBy("v").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("many")).where("least < most").select("v", "many"), "passage-minima"))
+        some = windows(docs, Sketch.of(shared.select("v")))
+        met = freed(written(some.join(shared.hint("merge"), "v").dropDuplicates(["v", "cls"]), "passage-windows"))
+        with scratch(docs.sparkSession):
+            leads = freed(written(leads_on(docs, met), "passage-leads", up=1))
+        hot = met.where(F.col("many") > GROUP_ROWS).drop("many")  # joined, so that AQE can split them
+        found = stars_together(met.where(F.col("many") <= GROUP_ROWS).drop("many")).unionByName(leads)
+        for key in (["v"], ["v", "after"], ["v", "before"], ["v", "after", "before"]):
+            found = found.unionByName(stars(hot, key, len(key) > 1))
+        seeds = found.groupBy("x", "y").agg(F.collect_set(F.struct("f", "cx", "cy", "ax", "bx", "ay", "by")).alias("seeds"))
+        strong = (F.size(F.array_distinct(F.transform("seeds", lambda s: s["f"]))) >= ENOUGH) | F.exists("seeds", lambda s: s["f"] < 0)
+        return freed(written(seeds.where(strong), "passage-pairs", up=1))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -682,17 +714,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = id_text(docs, id_col, text_col)
     rows = written(described(docs).where(f"n >= {MIN_WORDS}").distinct(), "passage-rows")
-    shared = written(windows(docs).groupBy("v").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("many")).where("least < most").select("v", "many"), "passage-minima")
-    some = windows(docs, Sketch.of(shared.select("v")))
-    met = written(some.join(shared.hint("merge"), "v").dropDuplicates(["v", "cls"]), "passage-windows")
-    hot = met.where(F.col("many") > GROUP_ROWS).drop("many")  # joined, so that AQE can split them
-    found = stars_together(met.where(F.col("many") <= GROUP_ROWS).drop("many"))
-    for key in (["v"], ["v", "after"], ["v", "before"], ["v", "after", "before"]):
-        found = found.unionByName(stars(hot, key, len(key) > 1))
-    found = found.unionByName(leads_on(docs, met))
-    seeds = found.groupBy("x", "y").agg(F.collect_set(F.struct("f", "cx", "cy", "ax", "bx", "ay", "by")).alias("seeds"))
-    strong = (F.size(F.array_distinct(F.transform("seeds", lambda s: s["f"]))) >= ENOUGH) | F.exists("seeds", lambda s: s["f"] < 0)
-    passages_ = written(verified(written(seeds.where(strong), "passage-pairs"), docs, rows), "passages")
+    with scratch(docs.sparkSession):
+        pairs = candidate_pairs(docs)
+        passages_ = verified(pairs, docs, rows)
     least = written(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("copies"), F.max("n").alias("n")), "passage-classes")
     both = passages_.where("only <> 2").select(F.col("x").alias("cls"), F.col("x_start").alias("start_word"), F.col("x_words").alias("n_words"), F.col("y").alias("other"), F.col("y_start").alias("partner_start"), "similarity").unionByName(
         passages_.where("only <> 1").select(F.col("y").alias("cls"), F.col("y_start").alias("start_word"), F.col("y_words").alias("n_words"), F.col("x").alias("other"), F.col("x_start").alias("partner_start"), "similarity")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kgspark.llm import passages as p
+from kgspark.llm.common import scratch
 from tests.llm.conftest import prose
 
 
@@ -280,3 +281,43 @@ def test_further_places_with_words_changed_and_of_one_word():
     assert [(s, n) for s, n, *_ in places] == [(70, 70), (640, 60), (700, 60)]
     one = np.full(1000, 7, np.uint32)
     assert sum(n for _, n, *_ in p.further(one, one[:100], [(0, 100)])) >= 850
+
+
+def test_tables_on_the_way_go_before_the_result(docs, monkeypatch):
+    """When passages are a table, what led to them takes no disk any more; the number of parts changes no row."""
+    names = []
+    written = p.written
+    monkeypatch.setattr(p, "written", lambda df, name, up=0: names.append((name, out := written(df, name, up))) or out)
+    shared = prose(9, 80)
+    texts = docs([prose(i, 30) + " " + shared + " " + prose(100 + i, 20) for i in range(9)])
+    with scratch(texts.sparkSession):
+        want = p.repeated(texts)
+        there = set()
+        for name, table in names:
+            try:
+                there |= {name} if table.inputFiles() and table.count() >= 0 else set()
+            except Exception:  # its files are gone
+                pass
+        assert there == {"passage-rows", "passages", "passage-classes"}
+        want = sorted(want.collect())
+    monkeypatch.setattr(p, "PARTS", 1)
+    assert want and sorted(p.repeated(texts).collect()) == want
+
+
+def test_text_classes_follow_the_words_and_their_order():
+    one, two = prose(1, 60).split(), prose(2, 60).split()
+    texts = [one, two, one, one[::-1], [], one[:-1], one + two[:1], two]
+    words, at = p.word_hashes([" ".join(t).encode() for t in texts])
+    got = p.text_classes(words, at).tolist()
+    assert [got.index(c) for c in got] == [0, 1, 0, 3, 4, 5, 6, 1]
+    alone = [p.text_classes(*p.word_hashes([" ".join(t).encode()]))[0] for t in texts]
+    assert alone == got
+
+
+def test_first_places_of_texts_that_repeat_tokens():
+    rng = np.random.default_rng(2)
+    doc = np.sort(rng.integers(0, 40, 5000))
+    tokens = rng.integers(0, 300, 5000).astype(np.uint64)
+    seen = set()
+    assert p.first_places(tokens, doc).tolist() == [(t, d) not in seen and not seen.add((t, d)) for t, d in zip(tokens.tolist(), doc.tolist(), strict=True)]
+    assert p.first_places(tokens[:0], doc[:0]).tolist() == []
