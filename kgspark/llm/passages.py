@@ -565,7 +565,8 @@ def met_in_tasks(rows: DataFrame, keys: DataFrame) -> DataFrame:
             yield pairs(pa.Table.from_batches(held))
 
     both = rows.select("v", "cls", "a", "c", "b", "around").unionByName(keys.select("v", "cls"), allowMissingColumns=True)
-    return both.repartition("v").sortWithinPartitions("v", "cls", F.col("around").asc_nulls_first()).mapInArrow(run, PAIR)
+    # by a hash of v: where both come from joins by v, Spark leaves an exchange by v out, though their partitions needn't match any more
+    return both.repartition(F.xxhash64("v")).sortWithinPartitions("v", "cls", F.col("around").asc_nulls_first()).mapInArrow(run, PAIR)
 
 
 def met_in_tables(rows: DataFrame) -> DataFrame:

@@ -157,6 +157,11 @@ def test_rounds_in_tables_are_those_of_a_task(spark, monkeypatch, group_rows):
     want = set(p.met_in_tasks(rows, rows.select("v", "cls")).collect())
     monkeypatch.setattr(p, "GROUP_ROWS", group_rows)
     assert want and set(p.met_in_tables(rows).collect()) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # joins by v, whose partitions an exchange by v would take over
+    try:
+        assert set(p.met_in_tables(rows).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     some = rows.where("c % 2 = 0")
     assert set(p.met_in_tasks(rows, some.select("v", "cls")).collect()) == set(p.met_in_tasks(some.unionByName(some), some.select("v", "cls")).collect())
 
